@@ -15,7 +15,7 @@ _TOKEN = re.compile(r"<br\s*/?>|[^\W\d_一-鿿]+(?:['’-][^\W\d_]+)*|\d+|[一-
 _STOP = re.compile(r"<br|[.!?…。！？\n]")
 _TAGS = re.compile(r"(?:\s|<[^<>]{0,40}>|​)+$")
 #: Signs that stand for text left out.
-_CUT_SIGNS = re.compile(r"(?:\s*(?:…|\.{2,}|\[(?:more|\.\.\.|…)\]|�))+$", re.IGNORECASE)
+_CUT_SIGNS = re.compile(r"(?:\s*(?:…|\.{2,}|\[(?:more|\.\.\.|…)\]|�|(?:…|\.{3})\s*(?:read more|show more|see more|more|mehr lesen|mehr anzeigen|mehr|weiterlesen|leer más|ver más|lire la suite|voir plus|更多|查看更多|阅读全文|展开|全文)))+$", re.IGNORECASE)
 _MARKED = re.compile(r"(?:[.!?…。！？;:][\"'”’»」』)\]）*_~`]*|[)\]）”»」』]|[:;]-?[()DP])$")
 _EMOJI = re.compile(r"[☀-➿⭐️\U0001f000-\U0001faff]$")
 #: Counter entries a task keeps before it sends them on.
@@ -37,7 +37,7 @@ def _sequences(words: list[str], i: int, start: int) -> list[str]:
 
 
 def _scan(text: str) -> Iterator[tuple[list[str], str]]:
-    """(sequences, what follows: e end, m middle, t end of the text) for each word."""
+    """(sequences, what follows: e end, m middle, t end of a text of one sentence, x of another text) for each word."""
     words: list[str] = []
     start = 0
     for token in _TOKEN.findall(text.lower()):
@@ -50,7 +50,7 @@ def _scan(text: str) -> Iterator[tuple[list[str], str]]:
                 yield _sequences(words, len(words) - 1, start), "m"
             words.append("0" if token.isdigit() else token)
     if len(words) > start:
-        yield _sequences(words, len(words) - 1, start), "t"
+        yield _sequences(words, len(words) - 1, start), "x" if start else "t"
 
 
 def ending_counts(texts: DataFrame, column: str) -> DataFrame:
@@ -66,6 +66,8 @@ def ending_counts(texts: DataFrame, column: str) -> DataFrame:
         for pdf in frames:
             for text in pdf["text"]:
                 for grams, what in _scan(text):
+                    if what == "x":
+                        continue
                     at = "emt".index(what)
                     for g in grams if what != "t" else [g for g in grams if g[0] == "^"]:
                         c = counts.get(g)
@@ -112,7 +114,7 @@ def last_grams(bare: str) -> list[int]:
         tail = tail[tail.find(" ") + 1 :] if " " in tail else tail
     last: list[str] = []
     for grams, what in _scan(tail):
-        last = grams if what == "t" else []
+        last = grams if what in "tx" else []
     return [gram_hash(g) for g in last]
 
 
@@ -120,7 +122,8 @@ def end_likelihood(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     """(key, likelihood) for rows (key, grams): the share of ends among the occurrences of its last words.
 
     The longest of the sequences that occurs elsewhere at least three times decides; where none
-    does, the likelihood is 0, as after a broken word. The text's own bare end does not count. AQE
+    does, the likelihood is 0, as after a broken word, and where only the shortest does, it counts
+    for a third, since its neighbours speak against it. The text's own bare end does not count. AQE
     splits frequent sequences; `counts` has one row for each.
     """
     each = candidates.select("key", F.posexplode("grams").alias("level", "gram"))
@@ -129,4 +132,4 @@ def end_likelihood(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     total = ends + F.coalesce(F.col("n_mid"), F.lit(0))
     scored = joined.select("key", "level", ends.alias("ends"), total.alias("total"))
     best = F.min(F.when(F.col("total") >= 3, F.struct("level", (F.col("ends") / F.col("total")).alias("q"))))
-    return scored.groupBy("key").agg(best.alias("best")).select("key", F.coalesce("best.q", F.lit(0.0)).alias("likelihood"))
+    return scored.groupBy("key").agg(best.alias("best")).select("key", F.when(F.col("best.level") == len(WORDS) - 1, F.col("best.q") / 3).otherwise(F.coalesce("best.q", F.lit(0.0))).alias("likelihood"))

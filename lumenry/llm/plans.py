@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.llm import truncation
+from lumenry.llm import pairs, truncation
 from lumenry.sources.tables import read_table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.pair_defects(read_table(spark, d, "messages")).select("response_id", F.element_at("defects", 1).alias("defect"))
+
+
+def p4_defects(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.pair_defects(read_table(spark, d, "messages")).select("response_id", F.explode("defects").alias("defect"))
+
+
 def p9_cut(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(read_table(spark, d, "documents")).select(F.col("key").alias("doc_id"), "source", "reason")
 
@@ -22,5 +30,5 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.share_per_source(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_cut, p9_sources)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_defects, p9_found, p9_cut, p9_sources)}
 SQL: dict[str, str] = {}

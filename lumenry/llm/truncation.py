@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenry.llm.endings import bare_end, end_likelihood, ending_counts, is_short, last_grams
+from lumenry.sources.stage import staged
 
 #: Lengths a store may have limited: of the text in an encoding, or with its marks escaped or line ends converted.
 MEASURES: dict[str, Callable[[str], int]] = {
@@ -41,7 +42,7 @@ def _inspect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, source, text in zip(pdf["key"], pdf["source"], pdf["text"], strict=True):
             bare, marked, signs = bare_end(text or "")
-            sign = "�" in signs or "[" in signs or signs[:1] in ("<", "&")
+            sign = "�" in signs or "[" in signs or signs[:1] in ("<", "&") or signs[-1:].isalpha()
             finished = not bare or ((marked or is_short(bare)) and not sign)
             grams = [] if finished else last_grams(bare)
             sizes = [] if finished else [(m, f(bare)) for m, f in MEASURES.items()]
@@ -62,7 +63,7 @@ def length_limits(inspected: DataFrame) -> DataFrame:
     shuffled, so a source with most of the texts costs one row per task and length. The window runs
     over lengths, not texts.
     """
-    sized = inspected.where("not finished").select("source", F.explode(F.array_distinct("measures")).alias("m")).groupBy("source", "m.measure", "m.size").agg(F.count(F.lit(1)).alias("n"))
+    sized = inspected.select("source", F.explode(F.array_distinct("measures")).alias("m")).groupBy("source", "m.measure", "m.size").agg(F.count(F.lit(1)).alias("n"))
     around = Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-NEARBY, NEARBY)
     near = (F.sum("n").over(around) - F.col("n")) / (2 * NEARBY)
     spiked = sized.withColumn("near", near).where((F.col("size") >= SHORTEST) & (F.col("n") >= SPIKE) & (F.col("n") >= TIMES * F.col("near")))
@@ -78,13 +79,11 @@ def truncated(docs: DataFrame, key: str = "doc_id", source: str = "source", text
     sentence, or a limit's length alone make no case. Null, empty and very short texts are complete.
     Sentence ends are counted over all texts; lengths of the texts do not matter otherwise.
     """
-    seen = _inspected(docs, key, source, text)
-    open_ = seen.where("not finished")
-    # the text's row count stays with its key: one row per document
-    likely = end_likelihood(open_.select("key", "grams"), ending_counts(docs, text))
+    seen = staged(_inspected(docs, key, source, text).where("not finished"))
+    likely = end_likelihood(seen.select("key", "grams"), ending_counts(docs, text))
     limits = length_limits(seen).select("source", "measure", "size")
-    full = open_.select("key", "source", F.explode("measures").alias("m")).select("key", "source", "m.measure", "m.size").join(limits, ["source", "measure", "size"], "left_semi").select("key").distinct().withColumn("full", F.lit(True))
-    judged = open_.select("key", "source", "sign").join(likely, "key", "left").join(full, "key", "left")
+    full = seen.select("key", "source", F.explode("measures").alias("m")).select("key", "source", "m.measure", "m.size").join(limits, ["source", "measure", "size"], "left_semi").select("key").distinct().withColumn("full", F.lit(True))
+    judged = seen.select("key", "source", "sign").join(likely, "key", "left").join(full, "key", "left")
     q = F.coalesce("likelihood", F.lit(0.0))
     reason = F.when(F.col("sign"), "sign").when(F.col("likelihood").isNotNull() & (q < UNLIKELY), "ending").when(F.col("full") & (q < CERTAIN), "limit")
     return judged.select("key", "source", reason.alias("reason")).where("reason is not null")
