@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.llm import pairs, truncation
+from lumenry.llm import conversations, packing, pairs, truncation
 from lumenry.sources.tables import read_table
 
 
@@ -17,6 +17,34 @@ def p4_defects(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_defects(read_table(spark, d, "messages")).select("response_id", F.explode("defects").alias("defect"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    states = conversations.conversation_state(read_table(spark, d, "conversations"), read_table(spark, d, "messages"))
+    return states.where("reason is not null").select("conversation_id", "reason")
+
+
+def p5_turns(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuilt_conversations(read_table(spark, d, "conversations"), read_table(spark, d, "messages"))
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """The likeliest of three candidate parents of each message, and whether it is the one directly before."""
+    links = conversations.reply_links(read_table(spark, d, "messages"), lookback=3)
+    return links.select(F.col("id").alias("message_id"), "parent_id", F.round("score", 6).alias("score"), (F.col("parent_id") == F.col("prev_id")).alias("is_direct"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = packing.token_sizes(read_table(spark, d, "documents"), "doc_id", "text")
+    return packing.harmonic_pack(packing.pieces(sizes, read_table(spark, d, "pack_sizes")))
+
+
+def p7_bins(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select("pack_name", F.col("key").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"), "bin_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
 def p9_cut(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(read_table(spark, d, "documents")).select(F.col("key").alias("doc_id"), "source", "reason")
 
@@ -30,5 +58,31 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.share_per_source(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_defects, p9_found, p9_cut, p9_sources)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_defects, p5_found, p5_turns, p5_links, p7_bins, p7_fill, p9_found, p9_cut, p9_sources)}
+_MESSAGES = """
+SELECT DISTINCT conv, id, role, created_at AS sent, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS rank,
+  words IN ('', 'null', 'none', 'undefined', 'nan', 'na', 'nil', 'void', 'empty', 'blank', 'noresponse', 'noanswer', 'nocontent', 'tbd', 'todo', 'keine', 'vide', 'vacío', '无', '空') AS is_empty
+FROM (
+  SELECT id, created_at, lower(translate(regexp_replace(conversation_id, '^\\s+|\\s+$', '', 'g'), '{}-', '')) AS conv,
+    CASE lower(regexp_replace(role, '^[\\s[:punct:]]+|[\\s[:punct:]]+$', '', 'g')) WHEN '' THEN NULL WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant'
+      ELSE lower(regexp_replace(role, '^[\\s[:punct:]]+|[\\s[:punct:]]+$', '', 'g')) END AS role,
+    regexp_replace(lower(regexp_replace(regexp_replace(coalesce(content, ''), '<[^<>]*>|&[a-zA-Z#0-9]+;', '', 'g'), '```[a-z]*', '', 'g')), '[^\\p{L}\\p{N}\\p{So}]+', '', 'g') AS words
+  FROM messages WHERE conversation_id IS NOT NULL
+)
+"""
+SQL: dict[str, str] = {
+    "p5_found": f"""
+WITH m AS ({_MESSAGES}), o AS (
+  SELECT conv, role, is_empty, lag(role) OVER w AS before, lead(role) OVER w AS after, lead(is_empty) OVER w AS after_empty
+  FROM m WHERE role IS NOT NULL AND sent IS NOT NULL WINDOW w AS (PARTITION BY conv ORDER BY sent, rank, id)
+), s AS (SELECT conv, bool_and(is_empty) AS all_empty, bool_or(role IS NULL OR sent IS NULL) AS unordered FROM m GROUP BY conv),
+j AS (
+  SELECT conv, bool_or(role = 'assistant' AND (before IS NULL OR before = 'assistant')) AS misplaced,
+    bool_or(role = 'user' AND (after IS NULL OR after <> 'assistant' OR after_empty)) AS unanswered FROM o GROUP BY conv
+), c AS (SELECT DISTINCT lower(id) AS id, replace(lower(id), '-', '') AS conv FROM conversations)
+SELECT * FROM (
+  SELECT c.id AS conversation_id, CASE WHEN coalesce(all_empty, true) THEN 'empty' WHEN coalesce(unordered, false) OR coalesce(misplaced, false) THEN 'broken'
+    WHEN coalesce(unanswered, false) THEN 'missing_reply' END AS reason
+  FROM c LEFT JOIN s ON s.conv = c.conv LEFT JOIN j ON j.conv = c.conv
+) WHERE reason IS NOT NULL""",
+}
