@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A word, a number, one Chinese character, the end of a sentence or line, or another mark.
-_TOKEN = re.compile(r"<br\s*/?>|[^\W\d_一-鿿]+(?:['’-][^\W\d_]+)*|\d+|[一-鿿]|[.!?…]+(?=\s|$|[\"”»)<'])|[。！？]|\n|[^\w\s]")
+_TOKEN = re.compile(r"\x1d|<br\s*/?>|[^\W\d_一-鿿]+(?:['’-][^\W\d_]+)*|\d+|[一-鿿]|[.!?…]+(?=\s|$|[\"”»)<'])|[。！？]|\n|[^\w\s]")
 _STOP = re.compile(r"<br|[.!?…。！？\n]")
 _TAGS = re.compile(r"(?:\s|<[^<>]{0,40}>|​)+$")
 #: Signs that stand for text left out.
@@ -24,65 +25,84 @@ FLUSH = 300_000
 WORDS, CHARS = (3, 2, 1), (6, 4, 2)
 
 
-def gram_hash(gram: str) -> int:
-    """Signed 64-bit hash of a sequence."""
-    h = xxhash.xxh64_intdigest(gram.encode("utf-8", "replace"))
-    return h - (1 << 64) if h >> 63 else h
+_SEAM = "\x1d"
+_MIX, _BOS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
+_WORD, _STOPS, _OTHER, _END = 0, 1, 2, 3
+#: What follows a word: the end of a sentence or line, something else, the end of a text of one sentence, or of another text.
+ENDS, GOES_ON, WHOLE, BARE = 0, 1, 2, 3
 
 
-def _sequences(words: list[str], i: int, start: int) -> list[str]:
-    """The counted sequences that end at word i of a sentence that begins at start; `^` stands for its beginning."""
-    sizes = CHARS if "一" <= words[i] <= "鿿" else WORDS
-    return [("^ " if i - n + 1 < start else "") + " ".join(words[max(start, i - n + 1) : i + 1]) for n in sizes]
+def _kind(token: str) -> int:
+    return _END if token == _SEAM else _STOPS if _STOP.match(token) else _WORD if token[0].isalnum() else _OTHER
 
 
-def _scan(text: str) -> Iterator[tuple[list[str], str]]:
-    """(sequences, what follows: e end, m middle, t end of a text of one sentence, x of another text) for each word."""
-    words: list[str] = []
-    start = 0
-    for token in _TOKEN.findall(text.lower()):
-        if _STOP.match(token):
-            if len(words) > start:
-                yield _sequences(words, len(words) - 1, start), "e"
-            start = len(words)
-        elif token[0].isalnum():
-            if len(words) > start:
-                yield _sequences(words, len(words) - 1, start), "m"
-            words.append("0" if token.isdigit() else token)
-    if len(words) > start:
-        yield _sequences(words, len(words) - 1, start), "x" if start else "t"
+def scan(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each word of the texts: number of its text, what follows, its three sequences' hashes, whether each is a whole sentence.
+
+    The texts are split in one go and hashed as arrays. Sequences that would reach over the
+    beginning of a sentence start with a mark for it.
+    """
+    found = _TOKEN.findall((_SEAM.join(t.replace(_SEAM, " ") for t in texts) + _SEAM).lower())
+    codes, names = pd.factorize(np.array(found, dtype=object))
+    kinds = np.fromiter(map(_kind, names), np.int8, len(names))[codes]
+    hashes = np.fromiter((xxhash.xxh64_intdigest("0" if t.isdigit() else t.encode("utf-8", "replace")) for t in names), np.uint64, len(names))
+    chinese = np.fromiter(("一" <= t <= "鿿" for t in names), bool, len(names))
+    at = np.flatnonzero(kinds == _WORD)
+    text = np.cumsum(kinds == _END)[at]
+    sentence = np.cumsum((kinds == _STOPS) | (kinds == _END))[at]
+    first = np.r_[True, sentence[1:] != sentence[:-1]] if len(at) else np.zeros(0, bool)
+    place = np.arange(len(at))
+    place = place - np.maximum.accumulate(np.where(first, place, 0)) if len(at) else place
+    # the next token that is a word, a stop or the end of the text; other marks in between change nothing but the middle
+    marks = np.flatnonzero(kinds != _OTHER)
+    after = kinds[marks[np.searchsorted(marks, at, side="right")]] if len(at) else at
+    opening = np.r_[True, text[1:] != text[:-1]] if len(at) else first
+    only = (sentence == sentence[np.maximum.accumulate(np.where(opening, np.arange(len(at)), 0))]) if len(at) else first
+    follows = np.select([after == _STOPS, after == _WORD, only], [ENDS, GOES_ON, WHOLE], BARE)
+    h = hashes[codes[at]]
+
+    def sequences(n: int) -> np.ndarray:
+        out = np.full(len(h), np.uint64(n))
+        for back in reversed(range(n)):
+            term = np.r_[np.zeros(back, np.uint64), h[: len(h) - back]] if back else h
+            mixed = (out ^ term) * _MIX
+            mixed ^= mixed >> np.uint64(31)
+            begun = (out ^ _BOS) * _MIX
+            out = np.where(place >= back, mixed, np.where(place == back - 1, begun, out))
+        return out
+
+    wide = chinese[codes[at]]
+    grams = np.stack([np.where(wide, sequences(c), sequences(w)) for c, w in zip(CHARS, WORDS, strict=True)], axis=1).view(np.int64) if len(at) else np.zeros((0, 3), np.int64)
+    whole = np.stack([place < np.where(wide, c, w) - 1 for c, w in zip(CHARS, WORDS, strict=True)], axis=1) if len(at) else np.zeros((0, 3), bool)
+    return text, follows, grams, whole
 
 
 def ending_counts(texts: DataFrame, column: str) -> DataFrame:
     """(gram, n_end, n_mid, n_last): how often each word sequence precedes an end of sentence or line, another word, or the bare end of a text.
 
-    Bare ends are counted only for sequences that are a whole sentence, such as short titles, since
-    a limit that cuts many texts would make the pieces it leaves look like ends. All texts count in full. Tasks add up their counts before the shuffle, so frequent sequences
-    cost one row per task. Null and empty texts add nothing.
+    Bare ends are counted only for sequences that are a whole text, such as short titles, since a
+    limit that cuts many texts would make the pieces it leaves look like ends. All texts count in
+    full. Tasks add up their counts before the shuffle, so frequent sequences cost one row per task
+    and batch of counts. Null and empty texts add nothing.
     """
 
+    def merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts, ignore_index=True).groupby("gram", as_index=False, sort=False).sum()
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, list[int]] = {}
+        parts: list[pd.DataFrame] = []
         for pdf in frames:
-            for text in pdf["text"]:
-                for grams, what in _scan(text):
-                    if what == "x":
-                        continue
-                    at = "emt".index(what)
-                    for g in grams if what != "t" else [g for g in grams if g[0] == "^"]:
-                        c = counts.get(g)
-                        if c is None:
-                            c = counts[g] = [0, 0, 0]
-                        c[at] += 1
-                if len(counts) > FLUSH:
-                    yield flush(counts)
-        if counts:
-            yield flush(counts)
-
-    def flush(counts: dict[str, list[int]]) -> pd.DataFrame:
-        out = pd.DataFrame({"gram": [gram_hash(g) for g in counts], "n_end": [c[0] for c in counts.values()], "n_mid": [c[1] for c in counts.values()], "n_last": [c[2] for c in counts.values()]})
-        counts.clear()
-        return out
+            _, follows, grams, whole = scan(pdf["text"].tolist())
+            kept = ((follows == ENDS) | (follows == GOES_ON))[:, None] | ((follows == WHOLE)[:, None] & whole)
+            what = np.broadcast_to(follows[:, None], grams.shape)[kept]
+            part = pd.DataFrame({"gram": grams[kept], "n_end": what == ENDS, "n_mid": what == GOES_ON, "n_last": what == WHOLE}).astype("int64")
+            parts.append(part.groupby("gram", as_index=False, sort=False).sum())
+            if sum(map(len, parts)) > FLUSH:
+                parts = [merged(parts)]
+                if len(parts[0]) > FLUSH:
+                    yield parts.pop()
+        if parts:
+            yield merged(parts)
 
     rows = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).mapInPandas(count, "gram long, n_end long, n_mid long, n_last long")
     return rows.groupBy("gram").agg(F.sum("n_end").alias("n_end"), F.sum("n_mid").alias("n_mid"), F.sum("n_last").alias("n_last"))
@@ -96,26 +116,37 @@ def is_short(bare: str) -> bool:
     return len(bare) <= 40 and len(re.findall(r"[^\W\d_一-鿿]+|\d+", bare)) + len(re.findall(r"[一-鿿]", bare)) / 2 <= 4
 
 
+def _stripped(text: str) -> str:
+    """The text without white space and markup at its end."""
+    bare = text.rstrip()
+    while bare[-1:] in (">", "\u200b"):
+        cut = _TAGS.sub("", bare[-200:])
+        if len(cut) == len(bare[-200:]):
+            break
+        bare = (bare[:-200] + cut).rstrip()
+    return bare
+
+
 def bare_end(text: str) -> tuple[str, bool, str]:
     """(text without trailing markup and signs of omission, whether that ends with a final mark, the signs)."""
-    bare = _TAGS.sub("", text)
-    signs = ""
-    if m := _BROKEN.search(bare):
-        return bare[: m.start()], False, m.group()
-    if m := _CUT_SIGNS.search(bare):
-        signs, bare = m.group().strip(), _TAGS.sub("", bare[: m.start()])
-    return bare, bool(_MARKED.search(bare) or _EMOJI.search(bare)), signs
-
-
-def last_grams(bare: str) -> list[int]:
-    """Hashes of the sequences at the end of a text, longest first; empty if it holds no word."""
-    tail = bare[-400:]
-    if len(bare) > 400:
-        tail = tail[tail.find(" ") + 1 :] if " " in tail else tail
-    last: list[str] = []
-    for grams, what in _scan(tail):
-        last = grams if what in "tx" else []
-    return [gram_hash(g) for g in last]
+    bare, signs = _stripped(text), ""
+    tail = bare[-120:]
+    if m := _BROKEN.search(tail):
+        return bare[: len(bare) - len(m.group())], False, m.group()
+    if m := _CUT_SIGNS.search(tail):
+        signs, bare = m.group().strip(), _stripped(bare[: len(bare) - len(m.group())])
+        tail = bare[-120:]
+    return bare, bool(_MARKED.search(tail) or _EMOJI.search(tail)), signs
+
+
+def last_grams(bares: Sequence[str]) -> list[list[int]]:
+    """For each text the hashes of the sequences at its end, longest first; none if it holds no word at its end."""
+    tails = [b if len(b) <= 400 else b[-400:].partition(" ")[2] or b[-400:] for b in bares]
+    text, follows, grams, _ = scan(tails)
+    out: list[list[int]] = [[] for _ in bares]
+    for i in np.flatnonzero(follows >= WHOLE):
+        out[text[i]] = grams[i].tolist()
+    return out
 
 
 def end_likelihood(candidates: DataFrame, counts: DataFrame) -> DataFrame:

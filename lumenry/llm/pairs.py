@@ -27,7 +27,7 @@ _REFUSALS = {
     "fr": r"je ne (?:peux|puis|donne|donnerai|dois|veux|suis|saurais|pourrai|fournis|commente)|il m'est (?:interdit|impossible)|m'est (?:fermé|interdit|impossible)|m'est pas (?:permis|possible)|préfère ne pas|dois (?:\w+ )?(?:refuser|décliner)|rien le droit|pas le droit|de mon cadre|mes (?:règles|consignes)|aucun commentaire|pas de commentaire|ne serait pas (?:approprié|convenable|correct)|rien (?:à|que je puisse) (?:dire|partager)|on m'a demandé de ne pas|pas autorisé|bloquées? pour moi",
     "zh": r"无法|不能(?:回答|讨论|提供|协助|帮助|评论|谈)|不便|不予|不提供|没有权限|拒绝|无权|被限制|已被限制|受限|恕|不可以(?:回答|讨论|提供)|不允许|超出了允许|不合适|不方便|不宜|不适合|谢绝|不作(?:评论|回答)|没有(?:什么)?(?:可以|能|可)",
 }
-_REFUSAL = re.compile("|".join(f"(?:{p})" for p in _REFUSALS.values()), re.IGNORECASE)
+_REFUSAL = {lang: re.compile(p, re.IGNORECASE) for lang, p in _REFUSALS.items()} | {"": re.compile("|".join(f"(?:{p})" for p in _REFUSALS.values()), re.IGNORECASE)}
 #: Sentences that decline often add, which give no help either.
 _CLOSER = re.compile(r"please (?:contact|consult|ask|see)|qualified|adviser|advisor|professional|anything else|something else|other topic|another question|sorry|apolog|fachperson|sonst (?:etwas|noch)|wenden sie sich|etwas anderes|tut mir leid|profesional|otra cosa|otro tema|lo siento|spécialiste|professionnel|autre chose|autre sujet|désolé|专业|别的|其他问题|抱歉|对不起", re.IGNORECASE)
 #: Signs that a sentence goes on to help after all.
@@ -43,7 +43,7 @@ _WORDS = {
     "es": "el los las de que y para una un con en por del al qué cómo nuestra nuestro más se lo es son sin como pero su sus está bien sí cuánto cada muy hay al tenemos escribe cuesta porque primero",
     "fr": "le les des et pour est une un avec dans que du nous notre sur quel quelle comment au aux il faut vous ce cette qui pas plus chaque en la toutes combien pourquoi rédige merci doit doivent ne je mais ou où c'est d'un d'une",
 }
-_OF = {w: [lang for lang, ws in _WORDS.items() if w in ws.split()] for ws in _WORDS.values() for w in ws.split()}
+_SETS = {lang: frozenset(ws.split()) for lang, ws in _WORDS.items()}
 _MARKS = {"ß": "de", "ä": "de", "ö": "de", "ü": "de", "ñ": "es", "¿": "es", "¡": "es", "í": "es", "ó": "es", "ú": "es", "ç": "fr", "è": "fr", "ê": "fr", "à": "fr", "œ": "fr", "ù": "fr", "â": "fr", "î": "fr", "ô": "fr", "û": "fr"}
 _LATIN = re.compile(r"[a-zà-öø-ÿœ]+(?:['’][a-zà-öø-ÿœ]+)?")
 _SCRIPTS = (("zh", re.compile(r"[一-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")))
@@ -59,31 +59,31 @@ _ASKS = {lang: re.compile(rf"(?:answer|reply|respond|write|translate|response|in
 _QUOTE = re.compile(r"^[\s\"'“”„«»‘’「」『』>*_]*(?:(?:so )?(?:your|the|my)?\s*question(?: is| was)?|you (?:asked|ask)|question|frage|ihre frage|pregunta|tu pregunta|votre question|问题|您的问题|你的问题|q)\s*(?:is|ist|es|est|是)?\s*[:：]\s*", re.IGNORECASE)
 _KEEP = re.compile(r"[^\w]+|_+")
 _URL_END = re.compile(r"https?://[^\s/]+\.[^\s]+$")
-_CODE_END = re.compile(r"```\s*$")
 _ITEM_ONLY = re.compile(r"\n\s*(?:[-*•]|\d+[.)]|\(?[a-z][.)])\s*$")
 
 
 def language(text: str) -> tuple[str, float]:
     """(language, margin over the next one) by script, else by frequent words and letters; ('', 0) if nothing tells."""
     low = text.lower()
-    letters = sum(map(str.isalpha, low))
-    for lang, script in _SCRIPTS:
-        n = len(script.findall(low))
-        if n and n >= 0.25 * letters:
-            return lang, float(n)
-    score = dict.fromkeys(_WORDS, 0.0)
-    for w in _LATIN.findall(low):
-        for lang in (langs := _OF.get(w, ())):
-            score[lang] += 1 / len(langs)
-    for c in low:
-        if c in _MARKS:
-            score[_MARKS[c]] += 0.7
+    if not low.isascii():
+        letters = sum(map(str.isalpha, low))
+        for lang, script in _SCRIPTS:
+            n = len(low) - len(script.sub("", low))
+            if n and n >= 0.25 * letters:
+                return lang, float(n)
+    words = _LATIN.findall(low)
+    score = {lang: float(sum(map(own.__contains__, words))) for lang, own in _SETS.items()}
+    if not low.isascii():
+        for c, lang in _MARKS.items():
+            score[lang] += 0.7 * low.count(c)
     first, second = sorted(score.values(), reverse=True)[:2]
     return (max(score, key=score.get), first - second) if first > second else ("", 0.0)
 
 
 def _same(question: str, answer: str) -> bool:
     """Whether the answer is the question again, once or more, perhaps quoted, in other case or with small slips."""
+    if len(answer) > 4 * len(question) + 60 or 3 * len(answer) < len(question):
+        return False
     q, a = _KEEP.sub("", question.lower()), _KEEP.sub("", _QUOTE.sub("", answer).lower())
     if len(q) < 4 or not a or len(a) > 3.3 * len(q) + 4:
         return False
@@ -93,34 +93,43 @@ def _same(question: str, answer: str) -> bool:
     q = q * times
     if not 0.85 * len(q) <= len(a) <= 1.15 * len(q) + 2:
         return False
-    m = SequenceMatcher(None, q, a, autojunk=False)
-    return m.real_quick_ratio() >= 0.88 and m.quick_ratio() >= 0.88 and m.ratio() >= 0.88
+    ours, theirs = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (q, a))
+    if len(ours & theirs) < 0.6 * min(len(ours), len(theirs)):
+        return False  # slips enough to part that many triples would leave too little
+    return SequenceMatcher(None, q, a, autojunk=False).ratio() >= 0.88
 
 
-def _refuses(answer: str) -> bool:
-    if len(answer) > REFUSAL_CHARS or not _REFUSAL.search(answer) or 3 * len(_SCRIPTS[0][1].findall(answer)) > REFUSAL_CHARS:
+def _refuses(answer: str, lang: str) -> bool:
+    """Whether the answer, in a language (or '' if unknown), only declines."""
+    if len(answer) > REFUSAL_CHARS or lang == "zh" and 3 * len(answer) > REFUSAL_CHARS:
+        return False
+    refusal = _REFUSAL.get(lang) or _REFUSAL[""]
+    if not refusal.search(answer):
         return False
     parts = [p for p in _SENTENCE.split(answer.strip()) if _KEEP.sub("", p)]
-    declines = [bool(_REFUSAL.search(p)) and not _BUT.search(p) for p in parts]
+    declines = [bool(refusal.search(p)) and not _BUT.search(p) for p in parts]
     first = next((i for i, x in enumerate(declines) if x), len(parts))
     rest = all(d or _CLOSER.search(p) for d, p in zip(declines[first:], parts[first:], strict=True))
     return len(parts) <= REFUSAL_SENTENCES and first < len(parts) and first <= 1 and rest
 
 
-def _other_language(question: str, answer: str) -> bool:
-    ql, qm = language(question)
-    al, am = language(answer)
-    if not ql or not al or ql == al or qm < 0.9 or am < 2.5:
+def _other_language(question: str, lang: str, margin: float) -> bool:
+    """Whether an answer in a language, known by a margin, is in another one than the question, which did not ask for it."""
+    if not lang or margin < 2.5:
         return False
-    return not _ASKS[al].search(question) if al in _ASKS else True
+    ql, qm = language(question)
+    return bool(ql) and ql != lang and qm >= 0.9 and not (lang in _ASKS and _ASKS[lang].search(question))
 
 
 def _open(answer: str) -> bool:
     """Whether a code fence, list item or bracket is left open at the end."""
-    if answer.count("```") % 2:
-        return True
-    prose = re.sub(r"```.*?```", "", answer, flags=re.DOTALL)
-    if _ITEM_ONLY.search(prose.strip() and prose):
+    prose = answer
+    if "```" in answer:
+        if answer.count("```") % 2:
+            return True
+        prose = re.sub(r"```.*?```", "", answer, flags=re.DOTALL)
+    last = prose.rstrip().rfind("\n")
+    if last > 0 and _ITEM_ONLY.match(prose[last:]):
         return True
     tail = prose.rstrip()[-300:]
     return any(tail.rfind(a) > tail.rfind(b) and tail.count(a) > tail.count(b) for a, b in (("(", ")"), ("（", "）"), ("“", "”"), ("「", "」"), ("[", "]"))) and not re.search(r"[:;]-?\($", tail)
@@ -128,26 +137,29 @@ def _open(answer: str) -> bool:
 
 def _rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = []
+        rows, bares = [], []
         for key, question, answer, empty in zip(pdf["id"], pdf["prev_content"], pdf["content"], pdf["empty"], strict=True):
-            found, grams = [], []
+            found, bare = [], ""
             if empty:
                 found.append("empty")
             else:
                 question = question or ""
                 if _same(question, answer):
                     found.append("copy")
-                if _refuses(answer):
+                lang, margin = language(answer)
+                if _refuses(answer, lang):
                     found.append("refusal")
-                if _other_language(question, answer):
+                if _other_language(question, lang, margin):
                     found.append("language")
-                bare, marked, signs = bare_end(answer)
+                text, marked, signs = bare_end(answer)
                 if _open(answer) or "�" in signs or "[" in signs or signs[:1] in ("<", "&"):
                     found.append("truncated")
-                elif not (marked and not (signs and not marked)) and not _URL_END.search(bare) and not _CODE_END.search(answer):
-                    grams = last_grams(bare)
-            rows.append((key, found, grams))
-        yield pd.DataFrame(rows, columns=["key", "found", "grams"])
+                elif not marked and not _URL_END.search(text[-400:]) and not text.endswith("```"):
+                    bare = text
+            rows.append((key, found))
+            bares.append(bare)
+        out = pd.DataFrame(rows, columns=["key", "found"])
+        yield out.assign(grams=last_grams(bares))
 
 
 def prompt_response_pairs(messages: DataFrame) -> DataFrame:

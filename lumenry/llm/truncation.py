@@ -39,17 +39,18 @@ _SCHEMA = "key long, source string, finished boolean, sign boolean, grams array<
 
 def _inspect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = []
+        rows, bares = [], []
         for key, source, text in zip(pdf["key"], pdf["source"], pdf["text"], strict=True):
             bare, marked, signs = bare_end(text or "")
             sign = "�" in signs or "[" in signs or signs[:1] in ("<", "&") or signs[-1:].isalpha()
             finished = not bare or ((marked or is_short(bare)) and not sign)
-            grams = [] if finished else last_grams(bare)
             sizes = [] if finished else [(m, f(bare)) for m, f in MEASURES.items()]
             if sizes and bare.isascii():
                 sizes = [(m, n) for m, n in sizes if m not in _PARTIAL]
-            rows.append((key, source, finished, sign, grams, [{"measure": "utf8" if m in _PARTIAL else m, "size": n} for m, n in sizes]))
-        yield pd.DataFrame(rows, columns=["key", "source", "finished", "sign", "grams", "measures"])
+            bares.append("" if finished else bare)
+            rows.append((key, source, finished, sign, [{"measure": "utf8" if m in _PARTIAL else m, "size": n} for m, n in sizes]))
+        out = pd.DataFrame(rows, columns=["key", "source", "finished", "sign", "measures"])
+        yield out.assign(grams=last_grams(bares))[["key", "source", "finished", "sign", "grams", "measures"]]
 
 
 def _inspected(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
