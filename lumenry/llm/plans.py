@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.llm import conversations, packing, pairs, truncation
+from lumenry.llm import conversations, leakage, packing, pairs, truncation
 from lumenry.sources.tables import read_table
 
 
@@ -45,6 +45,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: documents that hold it, and the longest passage."""
+    return _leaked(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count_distinct("doc").alias("n_docs"), F.max("length").alias("longest"))
+
+
 def p9_cut(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(read_table(spark, d, "documents")).select(F.col("key").alias("doc_id"), "source", "reason")
 
@@ -58,7 +71,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.share_per_source(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_defects, p5_found, p5_turns, p5_links, p7_bins, p7_fill, p9_found, p9_cut, p9_sources)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_defects, p5_found, p5_turns, p5_links, p7_bins, p7_fill, p8_found, p8_items, p9_found, p9_cut, p9_sources)}
 _MESSAGES = """
 SELECT DISTINCT conv, id, role, created_at AS sent, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS rank,
   words IN ('', 'null', 'none', 'undefined', 'nan', 'na', 'nil', 'void', 'empty', 'blank', 'noresponse', 'noanswer', 'nocontent', 'tbd', 'todo', 'keine', 'vide', 'vacío', '无', '空') AS is_empty
