@@ -64,7 +64,7 @@ def scan(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     def sequences(n: int) -> np.ndarray:
         out = np.full(len(h), np.uint64(n))
         for back in reversed(range(n)):
-            term = np.r_[np.zeros(back, np.uint64), h[: len(h) - back]] if back else h
+            term = np.r_[np.zeros(min(back, len(h)), np.uint64), h[: max(0, len(h) - back)]]
             mixed = (out ^ term) * _MIX
             mixed ^= mixed >> np.uint64(31)
             begun = (out ^ _BOS) * _MIX
