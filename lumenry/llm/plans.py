@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.llm import conversations, leakage, packing, pairs, truncation
+from lumenry.llm import conversations, entities, leakage, packing, pairs, truncation
 from lumenry.sources.tables import read_table
 
 
+def p1_firms(spark: SparkSession, d: str) -> DataFrame:
+    """Each company id with the class of its firm and the number of its variants."""
+    classes = entities.firm_classes(read_table(spark, d, "companies"))
+    return classes.join(classes.groupBy("firm").agg(F.count(F.lit(1)).alias("n_ids")), "firm").select("id", "firm", "n_ids")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return entities.variant_pairs(entities.firm_classes(read_table(spark, d, "companies")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_defects(read_table(spark, d, "messages")).select("response_id", F.element_at("defects", 1).alias("defect"))
 
@@ -71,7 +81,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.share_per_source(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_defects, p5_found, p5_turns, p5_links, p7_bins, p7_fill, p8_found, p8_items, p9_found, p9_cut, p9_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_firms, p4_found, p4_defects, p5_found, p5_turns, p5_links, p7_bins, p7_fill, p8_found, p8_items, p9_found, p9_cut, p9_sources)}
 _MESSAGES = """
 SELECT DISTINCT conv, id, role, created_at AS sent, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS rank,
   words IN ('', 'null', 'none', 'undefined', 'nan', 'na', 'nil', 'void', 'empty', 'blank', 'noresponse', 'noanswer', 'nocontent', 'tbd', 'todo', 'keine', 'vide', 'vacío', '无', '空') AS is_empty
