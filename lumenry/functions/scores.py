@@ -31,7 +31,8 @@ def band(score: Column, steps: tuple[tuple[float, str], ...], below: str) -> Col
 
 def clamp_percent(value: Column) -> Column:
     """A number, or text of one, as an integer in 0..100, rounded half to even; null for other values."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(value.try_cast("double")).cast("int")))
+    number = F.bround(value.try_cast("double")).cast("int")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), number)))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -203,7 +203,7 @@ _D = lambda t: f"(SELECT DISTINCT * FROM {t})"
 _T = "(CASE WHEN json_valid(tags) AND json_type(tags) = 'ARRAY' THEN from_json(tags, '[\"VARCHAR\"]') ELSE [] END)"
 _WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _SCORE = lambda seed, dim, kw, base, spread: f"greatest(35, least(99, {base} + (('0x' || substr(md5({seed} || '|' || {dim} || '|' || {kw}), 1, 8))::bigint % {spread})))::int"
-_NUM = lambda c, p: f"greatest(0, least(100, round_even(try_cast(json_extract_string({c}, '$.{p}') AS double), 0)))::int"
+_NUM = lambda c, p: f"(CASE WHEN try_cast(json_extract_string({c}, '$.{p}') AS double) IS NOT NULL THEN greatest(0, least(100, round_even(try_cast(json_extract_string({c}, '$.{p}') AS double), 0)))::int END)"
 _VALUES = ", ".join(f"('{d}', {i}, '{t}', {a}, {b})" for d, i, t, a, b in TEMPLATES)
 _PACKS = f"""
 WITH seeds AS (SELECT pack, seed, row_number() OVER (PARTITION BY pack ORDER BY seed) AS pos FROM (SELECT DISTINCT coalesce(category, '') AS pack, unnest({_T}) AS seed FROM {_C}) QUALIFY pos <= 8),
@@ -214,7 +214,7 @@ packs AS (SELECT pack, dim AS dimension, rank::int AS rank, keyword, {_SCORE("se
 """
 _SIM = "WITH s AS (SELECT q.vec_id AS query, c.vec_id AS item, list_cosine_similarity(q.embedding::double[], c.embedding::double[]) AS sim FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 12) DESC, item) AS rank FROM s)"
 _PREV = "SELECT o_orderkey AS node, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS root FROM orders"
-_LIT = lambda q: "['" + "', '".join(w for w in q.split() if len(w) > 1) + "']"
+_LIT = lambda q: "['" + "', '".join(w for w in q.replace("_", " ").split() if len(w) > 1) + "']"
 
 SQL = {
     "page_tag_counts": "SELECT doc_id AS page_id, (1 + 0)::int AS h1_count, len(regexp_extract_all(x, '<h2[ >]'))::int AS h2_count, len(regexp_extract_all(x, '<p[ >]'))::int AS p_count, len(regexp_extract_all(x, '<a[ >]'))::int AS a_count, len(regexp_extract_all(x, '<img[ >]'))::int AS img_count FROM (SELECT doc_id, coalesce(title, '') || list_aggregate(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l, ' ') <> ''), lambda l: '<p>' || l || '</p>') || [''], 'string_agg', '') AS x FROM documents)",
