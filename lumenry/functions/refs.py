@@ -6,14 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of any script.
+_SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def ref_key(ref: Column) -> Column:
     """Reference text without surrounding white space, braces, hyphens and case; null where it is no reference.
 
     Null, blank and all-zero text is no reference. Text that is no UUID keeps its folded form,
     so that it can be reported as pointing nowhere.
     """
-    bare = F.lower(F.translate(F.regexp_replace(ref, r"(?U)^\s+|\s+$", ""), "{}-", ""))
-    return F.when((bare == "") | bare.rlike("^0+$"), None).otherwise(bare)
+    bare = F.lower(F.translate(F.btrim(ref, F.lit(_SPACES)), "{}-", ""))
+    return F.try_element_at(F.regexp_extract_all(bare, F.lit("(?s)^(?!0*$)(.+)$"), F.lit(1)), F.lit(1))  # evaluates the text once
 
 
 def is_uuid_key(key: Column) -> Column:

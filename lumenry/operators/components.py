@@ -11,6 +11,11 @@ from lumenry.sources.stage import staged
 MOST_ROUNDS = 40
 
 
+def _digest(links: DataFrame) -> tuple:
+    """Number and combined hash of the links; equal sets have equal digests."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the edges; component is the least node of it.
 
@@ -22,17 +27,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     links = staged(links)
+    last = None
     for _ in range(MOST_ROUNDS):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.withColumnRenamed("m", "v")).distinct()
-        following = staged(small)
-        same = following.exceptAll(links).isEmpty() and links.exceptAll(following).isEmpty()
-        links = following
-        if same:
+        links = staged(small)
+        now = _digest(links)
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError("components did not settle")
     found = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
