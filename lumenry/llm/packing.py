@@ -70,34 +70,71 @@ def pieces(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     return out.select("pack_name", "capacity", "key", "piece", start.alias("start"), F.least("capacity", F.col("n_tokens") - start).alias("size"))
 
 
+class _Bins:
+    """Bins of one capacity in one task: classes with a fixed count of items, and the room left in bins that are done."""
+
+    def __init__(self) -> None:
+        self.n, self.kind, self.current, self.count, self.room = 0, 0, -1, 0, 0
+        self.spare: dict[int, list[int]] = {}
+        self.mask = 0  # bit g is set where some done bin has room for g
+
+    def _done(self, bin_: int, room: int) -> None:
+        if room:
+            self.spare.setdefault(room, []).append(bin_)
+            self.mask |= 1 << room
+
+    def place(self, kind: int, size: int, capacity: int) -> int:
+        """The bin of the next item; classes come in rising order, that is from large items to small ones."""
+        if kind != self.kind:
+            self._close()
+            self.kind = kind
+        fits = self.mask >> size
+        if fits:
+            room = size + (fits & -fits).bit_length() - 1  # the least room that is enough
+            bins = self.spare[room]
+            bin_ = bins.pop()
+            if not bins:
+                self.mask ^= 1 << room
+            self._done(bin_, room - size)
+            return bin_
+        if self.current < 0 or size > self.room:
+            self._close()
+            self.current, self.count, self.room, self.n = self.n, 0, capacity, self.n + 1
+        bin_ = self.current
+        self.count, self.room = self.count + 1, self.room - size
+        if self.count == kind < CLASSES:
+            self._close()
+        return bin_
+
+    def _close(self) -> None:
+        if self.current >= 0:
+            self._done(self.current, self.room)
+        self.current = -1
+
+
 def harmonic_pack(items: DataFrame) -> DataFrame:
     """Adds bin_id to items (pack_name, capacity, key, piece, start, size).
 
     An item of size in (C/(k+1), C/k] belongs to class k, and a bin of that class takes k of them;
-    items of at most C/CLASSES share bins by size. Each task fills the bins of every class on its
-    own, from rows spread by key in portions that AQE sizes, so at most CLASSES bins per capacity
-    and task stay unfinished, and no class is brought together. Order within a task is fixed, so
-    that a repeated task gives the same bins. Sizes must lie in 1..capacity.
+    items of at most C/CLASSES share bins by size. Room left in bins that are done goes, where it
+    is enough, to items of the same or later classes before a bin is begun. Each task fills bins on
+    its own, from rows spread by key in portions that AQE sizes, so that no class is brought
+    together and few bins per task stay unfinished. Order within a task is fixed, so that a
+    repeated task gives the same bins. Sizes must lie in 1..capacity.
     """
     classed = items.withColumn("kind", F.least(F.lit(CLASSES), F.expr("cast(capacity div size as int)")))
     spread = classed.hint("rebalance", "key").sortWithinPartitions("pack_name", "kind", "key", "piece")
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        group, nth, count, load = None, -1, 0, 0
+        name, bins = None, _Bins()
         for pdf in frames:
-            bins = []
+            ids = []
             for pack, capacity, kind, size in zip(pdf["pack_name"], pdf["capacity"], pdf["kind"], pdf["size"], strict=True):
-                if (pack, kind) != group:
-                    group, nth, count, load = (pack, kind), -1, CLASSES, 0
-                    fresh = True
-                else:
-                    fresh = count == kind if kind < CLASSES else load + size > capacity
-                if fresh:
-                    nth, count, load = nth + 1, 0, 0
-                count, load = count + 1, load + size
-                bins.append(f"{pack}-{kind}-{task}-{nth}")
-            yield pdf.assign(bin_id=bins)[["pack_name", "capacity", "key", "piece", "start", "size", "bin_id"]]
+                if pack != name:
+                    name, bins = pack, _Bins()
+                ids.append(f"{pack}-{task}-{bins.place(kind, size, capacity)}")
+            yield pdf.assign(bin_id=ids)[["pack_name", "capacity", "key", "piece", "start", "size", "bin_id"]]
 
     return spread.mapInPandas(fill, "pack_name string, capacity long, key long, piece int, start long, size long, bin_id string")
 
