@@ -45,9 +45,9 @@ def reading_minutes_floor(c: Column) -> Column:
 
 
 def reading_minutes_markdown(c: Column, least: Column) -> Column:
-    """Minutes at 320 characters of prose each, rounded up; code, images, link targets and marks are no prose. At least `least` and one."""
+    """Minutes at 320 characters of prose each, rounded up; code, images, links and marks are no prose. At least `least` and one."""
     prose = F.coalesce(c, F.lit(""))
-    for pattern, kept in ((r"(?s)```.*?```", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"[#>*_`~|\-]", ""), (_SPACE, "")):
+    for pattern, kept in ((r"(?s)```.*?```", ""), (r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[[^\]]+\]\([^)]+\)", ""), (r"[#>*`|_\-]", ""), (_SPACE, "")):
         prose = F.regexp_replace(prose, pattern, kept)
     return F.greatest(F.coalesce(least, F.lit(1)), F.lit(1), F.ceil(F.length(prose) / 320).cast("int"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenry.functions import html, scores, text, urls
 from lumenry.functions.refs import ref_key
+from lumenry.operators import ingest
 from lumenry.operators import relational as R
 from lumenry.operators.components import components
 from lumenry.operators.keywords import expand_keywords, keyword_summary
@@ -193,9 +194,35 @@ def user_groups(spark, d):
     return components(rows).where("node like 'u:%'").select(F.expr("substring(node, 3)").alias("user_id"), "component")
 
 
+# Words that raise or lower the rank of a page in the page choice.
+PAGE_WEIGHTS = {
+    "about": 90, "about-us": 90, "company": 84, "team": 80, "leadership": 72, "founders": 68, "story": 64, "mission": 60, "platform": 58, "product": 56, "products": 56, "solution": 52, "solutions": 52, "technology": 48, "ai": 44, "overview": 42,
+    "login": -120, "signin": -120, "sign-in": -120, "signup": -120, "sign-up": -120, "register": -120, "privacy": -70, "terms": -70, "cookie": -70, "careers": -20, "career": -20, "blog": -18, "news": -14, "press": -12, "docs": -18,
+}
+
+
+def _anchors(spark, d):
+    """Links between an organisation's home page and the pages its details name."""
+    named = F.from_json(F.get_json_object("geo_details", "$.pages"), "array<struct<url:string,title:string>>")
+    return companies(spark, d).where("geo_details is not null").select(F.col("url").alias("base_url"), F.posexplode(named).alias("pos", "p")).select("base_url", "pos", "p.url", "p.title")
+
+
+def site_links(spark, d):
+    return ingest.candidate_links(_anchors(spark, d))
+
+
+def site_pages(spark, d):
+    return ingest.chosen_pages(ingest.candidate_links(_anchors(spark, d)), PAGE_WEIGHTS)
+
+
+def page_recommendations(spark, d):
+    rows = pages(spark, d).select("page_id", html.page_signals(F.col("url"), F.col("html")).alias("s"))
+    return rows.select("page_id", F.array_join(ingest.rule_recommendations(F.col("s")), "; ").alias("first_steps"))
+
+
 QUERIES = {f.__name__: f for f in (
     page_diagnostics, page_tag_counts, page_visible_text, report_overall, text_measures, search_terms, slugs, normalized_urls, firm_titles, profile_labels, stable_scores, keyword_packs, keyword_pack_summary, chunks, lexical_recommend, cosine_top, label_centroids, backfilled_neighbours,
-    structured_data, csv_rows, report_markdown, outermost_json, geo_dimensions, order_chain_roots, order_components, user_groups,
+    structured_data, csv_rows, report_markdown, outermost_json, geo_dimensions, order_chain_roots, order_components, user_groups, site_links, site_pages, page_recommendations,
 )}
 
 _C = "(SELECT * FROM companies QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1)"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenry.functions.refs import ref_key
@@ -85,7 +87,9 @@ def filter_score_present(spark, d):
 
 
 def profile_missing_fields(spark, d):
-    required = {"description": F.trim(F.coalesce("description", F.lit(""))) != "", "category": F.trim(F.coalesce("category", F.lit(""))) != "", "tags": F.size(R.string_list(F.col("tags"))) > 0, "geo_score": F.col("geo_score").isNotNull(), "geo_details": F.col("geo_details").isNotNull()}
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    dims = reduce(Column.__and__, [F.get_json_object("geo_details", f"$.{k}").isNotNull() for k in ("schema", "content", "meta", "citation")])
+    required = {"description": ~(blank("short_description") & blank("description")), "category": F.trim(F.coalesce("category", F.lit(""))) != "", "tags": F.size(R.string_list(F.col("tags"))) > 0, "geo_score": F.col("geo_score").isNotNull(), "geo_details": (F.try_parse_json("geo_details").isNotNull()) & dims}
     return companies(spark, d).select("id", F.array_join(R.missing_fields(required), ",").alias("missing"))
 
 
@@ -395,7 +399,7 @@ SQL = {
     "filter_enum": f"SELECT id, publish_status FROM {_C} WHERE publish_status = 'draft'",
     "filter_half_open_day": f"SELECT id, company_id FROM {_D('company_votes')} WHERE created_at >= TIMESTAMP '2025-06-01' AND created_at < TIMESTAMP '2025-06-02'",
     "filter_score_present": f"SELECT id, geo_score FROM {_C} WHERE geo_score IS NOT NULL AND publish_status = 'published'",
-    "profile_missing_fields": f"SELECT id, concat_ws(',', CASE WHEN trim(coalesce(description, '')) = '' THEN 'description' END, CASE WHEN trim(coalesce(category, '')) = '' THEN 'category' END, CASE WHEN len({_T}) = 0 THEN 'tags' END, CASE WHEN geo_score IS NULL THEN 'geo_score' END, CASE WHEN geo_details IS NULL THEN 'geo_details' END) AS missing FROM {_C}",
+    "profile_missing_fields": f"SELECT id, concat_ws(',', CASE WHEN trim(coalesce(description, '')) = '' AND trim(coalesce(short_description, '')) = '' THEN 'description' END, CASE WHEN trim(coalesce(category, '')) = '' THEN 'category' END, CASE WHEN len({_T}) = 0 THEN 'tags' END, CASE WHEN geo_score IS NULL THEN 'geo_score' END, CASE WHEN NOT coalesce(json_valid(geo_details), false) OR {' OR '.join(f"json_extract_string(CASE WHEN json_valid(geo_details) THEN geo_details END, '$.{k}') IS NULL" for k in ('schema', 'content', 'meta', 'citation'))} THEN 'geo_details' END) AS missing FROM {_C}",
     "project_brief": f"SELECT id, name, len({_T})::int AS n_tags, coalesce(upvotes, 0) AS upvotes FROM {_C}",
     "project_excerpt": f"SELECT id, substring(replace(regexp_replace(content, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), chr(10), ' '), 1, 120) AS excerpt FROM {_D('messages')}",
     "search_conversations": f"SELECT id, concat_ws(',', CASE WHEN m THEN 'message' END, CASE WHEN t THEN 'title' END) AS match_types FROM (SELECT id, coalesce(title ILIKE '%budget%', false) AS t, coalesce({_k('id')} IN (SELECT {_k('conversation_id')} FROM messages WHERE content ILIKE '%budget%' AND {_k('conversation_id')} IS NOT NULL), false) AS m FROM {_D('conversations')}) WHERE t OR m",
