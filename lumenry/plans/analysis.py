@@ -263,3 +263,19 @@ SQL = {
     "order_components": "SELECT node, min(node) OVER (PARTITION BY c) AS component FROM (SELECT o_orderkey AS node, o_custkey AS c, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 1",
     "geo_dimensions": "WITH g AS (SELECT id, " + ", ".join(f"{_NUM('geo_details', k)} AS {chr(34)}{k}{chr(34)}" for k in ("schema", "content", "meta", "citation")) + f" FROM {_C} WHERE json_valid(geo_details)), l AS (SELECT *, list_filter([{{'v': \"schema\", 'i': 0, 'k': 'schema'}}, {{'v': content, 'i': 1, 'k': 'content'}}, {{'v': meta, 'i': 2, 'k': 'meta'}}, {{'v': citation, 'i': 3, 'k': 'citation'}}], lambda x: x.v IS NOT NULL) AS d FROM g) SELECT id, \"schema\", content, meta, citation, list_sort(list_transform(d, lambda x: {{'v': -x.v, 'i': x.i, 'k': x.k}}))[1].k AS strongest, list_sort(d)[1].k AS weakest FROM l",
 }
+
+_FOLD = lambda c: f"trim(regexp_replace({c}, '{_WS}', ' ', 'g'), ' ')"
+_HOLES = ", ".join(f"'{x}'" for x in text.PLACEHOLDERS)
+_PRIVATE = r"^(0|10|127)(\.\d{1,3}){3}$|^(169\.254|192\.168|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7]))(\.\d{1,3}){2}$|^(22[4-9]|23\d|24\d|25[0-5])(\.\d{1,3}){3}$|\.(localhost|local|internal)$|^localhost$|^localhost\.localdomain$"
+_ROLE = "CASE " + " ".join(f"WHEN regexp_matches(lower(u), '{'|'.join(words)}') THEN '{name}'" for name, words in urls.ROLES) + " ELSE 'supporting' END"
+SQL |= {
+    "outermost_json": f"SELECT id, json_valid(j) AS valid FROM (SELECT id, regexp_extract(content, '(?s)(\\{{.*\\}})', 1) AS j FROM {_D('messages')}) WHERE j <> ''",
+    "profile_labels": f"SELECT id, CASE WHEN lower(trim(coalesce(headquarters, ''), ' ')) IN ({_HOLES}) THEN '' ELSE trim(coalesce(headquarters, ''), ' ') END AS place, coalesce(nullif(substring({_FOLD('short_description')}, 1, 40), ''), nullif(substring({_FOLD('description')}, 1, 40), '')) AS teaser, strftime(founded_date, '%Y/%m') AS founded FROM {_C}",
+    "normalized_urls": f"""
+WITH f AS (SELECT id, trim(coalesce(url, ''), ' ') AS t FROM {_C}),
+g AS (SELECT id, t, CASE WHEN starts_with(t, '//') THEN 'https:' || t WHEN contains(t, '://') THEN t ELSE 'https://' || t END AS x FROM f),
+h AS (SELECT id, t, lower(regexp_extract(x, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1)) AS s, lower(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)) AS a, regexp_replace(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#;]*)', 1), '/+$', '') AS p FROM g),
+k AS (SELECT id, p, CASE WHEN t <> '' AND s IN ('http', 'https') AND regexp_replace(a, ':\\d*$', '') <> '' AND NOT contains(a, '@') AND NOT regexp_matches(a, '\\s') AND NOT regexp_matches(regexp_replace(regexp_replace(a, ':\\d*$', ''), '\\.+$', ''), '{_PRIVATE}') THEN s || '://' || a || p END AS u FROM h)
+SELECT id, u AS url, CASE WHEN u IS NULL THEN NULL ELSE len(list_filter(string_split(p, '/'), lambda x: x <> ''))::int END AS depth, {_ROLE.replace('lower(u)', "lower(coalesce(u, '') || ' ')")} AS role FROM k""",
+    "report_markdown": f"SELECT id, md5(concat_ws(chr(10), '# ' || coalesce(url, ''), '', '- status: ' || coalesce(status, '-'), '', '## Gaps', CASE WHEN len(g) = 0 THEN '- none' ELSE list_aggregate(list_transform(g, lambda x: '- ' || x), 'string_agg', chr(10)) END)) AS digest FROM (SELECT id, url, status, CASE WHEN json_valid(src) AND json_type(src) = 'ARRAY' THEN list_filter(list_transform(json_extract(src, '$[*]'), lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') WHEN json_type(x) = 'NULL' THEN NULL ELSE x::varchar END), lambda x: x IS NOT NULL) ELSE [] END AS g FROM (SELECT id, url, status, CASE WHEN json_valid(recommendations) THEN CASE WHEN json_type(recommendations, '$.gaps') = 'VARCHAR' THEN json_extract_string(recommendations, '$.gaps') ELSE json_extract(recommendations, '$.gaps')::varchar END END AS src FROM {_D('diagnostic_reports')} WHERE recommendations IS NOT NULL))",
+}
