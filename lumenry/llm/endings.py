@@ -95,8 +95,8 @@ def ending_counts(texts: DataFrame, column: str) -> DataFrame:
             _, follows, grams, whole = scan(pdf["text"].tolist())
             kept = ((follows == ENDS) | (follows == GOES_ON))[:, None] | ((follows == WHOLE)[:, None] & whole)
             what = np.broadcast_to(follows[:, None], grams.shape)[kept]
-            part = pd.DataFrame({"gram": grams[kept], "n_end": what == ENDS, "n_mid": what == GOES_ON, "n_last": what == WHOLE}).astype("int64")
-            parts.append(part.groupby("gram", as_index=False, sort=False).sum())
+            codes, names = pd.factorize(grams[kept])
+            parts.append(pd.DataFrame({"gram": names} | {c: np.bincount(codes[what == w], minlength=len(names)) for c, w in (("n_end", ENDS), ("n_mid", GOES_ON), ("n_last", WHOLE))}))
             if sum(map(len, parts)) > FLUSH:
                 parts = [merged(parts)]
                 if len(parts[0]) > FLUSH:
