@@ -18,6 +18,8 @@ _TAGS = re.compile(r"(?:\s|<[^<>]{0,40}>|​)+$")
 #: Signs that stand for text left out.
 _CUT_SIGNS = re.compile(r"(?:\s*(?:…|\.{2,}|\[(?:more|\.\.\.|…)\]|�|(?:…|\.{3})\s*(?:read more|show more|see more|more|mehr lesen|mehr anzeigen|mehr|weiterlesen|leer más|ver más|lire la suite|voir plus|更多|查看更多|阅读全文|展开|全文)))+$", re.IGNORECASE)
 _MARKED = re.compile(r"(?:[.!?…。！？;:][\"'”’»」』)\]）*_~`]*|[)\]）”»」』]|[:;]-?[()DP])$")
+# Words with which people close a text, without a mark.
+_SIGN_OFF = re.compile(r"(?:^|[.!?…。！？)\]>]\s*|\n\s*)(?:greetings|(?:best |kind |warm )?regards|cheers|(?:many )?thanks|thank you|saludos|un saludo|gracias|(?:viele |liebe |beste )?grüße|gruß|danke|cordialement|salutations|merci|谢谢|此致|祝好)$", re.IGNORECASE)
 _EMOJI = re.compile(r"[☀-➿⭐️\U0001f000-\U0001faff]$")
 #: Counter entries a task keeps before it sends them on.
 FLUSH = 300_000
@@ -136,7 +138,7 @@ def bare_end(text: str) -> tuple[str, bool, str]:
     if m := _CUT_SIGNS.search(tail):
         signs, bare = m.group().strip(), _stripped(bare[: len(bare) - len(m.group())])
         tail = bare[-120:]
-    return bare, bool(_MARKED.search(tail) or _EMOJI.search(tail)), signs
+    return bare, bool(_MARKED.search(tail) or _EMOJI.search(tail) or _SIGN_OFF.search(tail)), signs
 
 
 def last_grams(bares: Sequence[str]) -> list[list[int]]:

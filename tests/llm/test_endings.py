@@ -26,7 +26,7 @@ def test_same_words_hash_alike_wherever_they_stand():
     assert last_grams(["", "..."]) == [[], []]
 
 
-@pytest.mark.parametrize(("text", "want"), [("Good. ", ("Good.", True, "")), ("Good", ("Good", False, "")), ("cut off… read more", ("cut off", False, "… read more")), ("a [more]", ("a", False, "[more]")), ("done...", ("done", False, "...")), ("bad <b", ("bad ", False, "<b")), ("x<br/> \n", ("x", False, "")), ("ok 👍", ("ok 👍", True, "")), ("好�", ("好", False, "�"))])
+@pytest.mark.parametrize(("text", "want"), [("Good. ", ("Good.", True, "")), ("Good", ("Good", False, "")), ("cut off… read more", ("cut off", False, "… read more")), ("a [more]", ("a", False, "[more]")), ("done...", ("done", False, "...")), ("bad <b", ("bad ", False, "<b")), ("x<br/> \n", ("x", False, "")), ("ok 👍", ("ok 👍", True, "")), ("Fine. Greetings", ("Fine. Greetings", True, "")), ("no greetings", ("no greetings", False, "")), ("好�", ("好", False, "�"))])
 def test_bare_end(text, want):
     assert bare_end(text) == want
 
