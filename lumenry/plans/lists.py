@@ -39,8 +39,8 @@ def ids_semi_scan(spark, d):
 
 def lookup_by_path_key(spark, d):
     """Organisations found by a lower-cased path key, the least id of equal keys."""
-    rows = companies(spark, d).where(F.length("path_key") == 5).select(F.lower("path_key").alias("path_key"), "id", "name")
-    return R.latest(rows.withColumn("o", F.lit(0)), ["path_key"], ["o"], ["o"]).select("path_key").join(rows.groupBy("path_key").agg(F.min("id").alias("id")), "path_key")
+    rows = companies(spark, d).where(F.length("path_key") == 5)
+    return rows.groupBy(F.lower("path_key").alias("path_key")).agg(F.min("id").alias("id"))
 
 
 def filter_equal_optional(spark, d):
