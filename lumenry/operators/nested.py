@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from json.decoder import scanstring
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Stands in a raw path after a key that holds a lone object; no JSON text of ours uses it (private use).
@@ -120,14 +120,33 @@ def _text(value: object) -> str | None:
     return json.dumps(value, ensure_ascii=False) if not isinstance(value, float) else repr(value)
 
 
+def _scalars(values: list) -> Iterator[object]:
+    """What lists hold at any depth that is neither object nor list, in order, without recursion."""
+    todo = [iter(values)]
+    while todo:
+        for x in todo[-1]:
+            x = _unwrap(x)
+            if isinstance(x, list):
+                todo.append(iter(x))
+                break
+            if not isinstance(x, dict):
+                yield x
+        else:
+            todo.pop()
+
+
 def _walk(root: object, on_object: Callable, on_list: Callable, on_value: Callable | None) -> None:
     """Visits a record without recursion.
 
     on_object(raw path, shape, chain) for each object, on_list(chain) for each list that holds
     objects, on_value(raw path, shape, chain, ordinal, key, value) for each member of an object that is
-    neither object nor list, and for each such element of a list (of the object that holds the list).
+    neither object nor list, and for each such element of a list (of the object that holds the list;
+    the key is '' where the record itself is a list).
     """
     todo: list[tuple[object, str, str, str, bool]] = [(root, "", "", "", False)]
+    if on_value and isinstance(root, list):
+        for i, x in enumerate(_scalars(root)):
+            on_value("", "", "", i, "", x)
     while todo:
         node, path, shape, chain, element = todo.pop()
         if isinstance(node, dict):
@@ -141,9 +160,8 @@ def _walk(root: object, on_object: Callable, on_list: Callable, on_value: Callab
                 elif isinstance(value, list):
                     todo.append((value, at, form, names, False))
                     if on_value:
-                        for i, x in enumerate(value):
-                            if not isinstance(x := _unwrap(x), (dict, list)):
-                                on_value(path, shape, chain, i, name, x)
+                        for i, x in enumerate(_scalars(value)):
+                            on_value(path, shape, chain, i, name, x)
                 elif on_value:
                     on_value(path, shape, chain, ordinal, name, value)
         elif isinstance(node, list):
@@ -190,13 +208,6 @@ def _patterns(pdf: pd.DataFrame, fields: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame(sorted(seen), columns=["field", "what", "pattern"])
 
 
-def _objects(pdf: pd.DataFrame, fields: Sequence[str]) -> pd.DataFrame:
-    rows: list[tuple] = []
-    for field, record, root in _roots(pdf, fields):
-        _walk(root, lambda path, shape, chain, f=field, r=record: rows.append((f, r, path, shape, chain)) if path else None, lambda chain: None, None)
-    return pd.DataFrame(rows, columns=["field", "record_id", "raw", "shape", "chain"])
-
-
 def _triples(pdf: pd.DataFrame, fields: Sequence[str]) -> pd.DataFrame:
     rows: list[tuple] = []
     for field, record, root in _roots(pdf, fields):
@@ -211,15 +222,14 @@ def _lone_flags(records: DataFrame, fields: Sequence[str]) -> DataFrame:
     variety, not the number of records; Spark broadcasts them only if they are small.
     """
     patterns = records.mapInPandas(_batches(fields, _patterns), "field string, what string, pattern string").distinct()
-    lists = patterns.where("what = 'list'").select("field", F.col("pattern").alias("chain"), F.lit(True).alias("listed"))
-
     @F.pandas_udf("array<string>")
     def chains(shape: pd.Series) -> pd.Series:
         return shape.map(_chains)
 
-    marks = patterns.where("what = 'shape'").select("field", F.col("pattern").alias("shape"), F.posexplode(chains("pattern")).alias("at", "chain"))
-    flagged = marks.join(lists, ["field", "chain"], "left").select("field", "shape", "at", F.when(F.col("listed"), "[0]").otherwise("").alias("flag"))
-    return flagged.groupBy("field", "shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "flag"))), lambda x: x["flag"]).alias("flags"))
+    at_chains = F.posexplode(F.when(F.col("what") == "shape", chains("pattern")).otherwise(F.array("pattern"))).alias("at", "chain")
+    listed = F.max(F.col("what") == "list").over(Window.partitionBy("field", "chain"))
+    flagged = patterns.select("field", "what", "pattern", at_chains).withColumn("flag", F.when(listed, "[0]").otherwise("")).where("what = 'shape'")
+    return flagged.groupBy("field", F.col("pattern").alias("shape")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "flag"))), lambda x: x["flag"]).alias("flags"))
 
 
 def _resolve(rows: DataFrame, flags: DataFrame) -> DataFrame:
@@ -244,10 +254,8 @@ def object_rows(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
     path of the nearest enclosing list element ('' for the record), table the key chain. Repeated
     records give one row per object. Depth and length of a record are not limited.
     """
-    records = _records(df, id_col, fields)
-    rows = records.mapInPandas(_batches(fields, _objects), "field string, record_id string, raw string, shape string, chain string")
-    found = _resolve(rows, _lone_flags(records, fields)).where("is_row")
-    return found.select("field", "record_id", "path", parent_path(F.col("path")).alias("parent"), F.replace("chain", F.lit(STEP), F.lit(".")).alias("table")).distinct()
+    found = json_triples(df, id_col, fields).where("is_row and ordinal = -1")
+    return found.select("field", "record_id", "path", parent_path(F.col("path")).alias("parent"), "table").distinct()
 
 
 def parent_path(path: Column) -> Column:
@@ -259,13 +267,46 @@ def json_triples(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame
     """Path, key and value with their ordinal, for every object of the fields.
 
     Columns field, table (key chain), record_id, path (of the object that holds the value), ordinal,
-    key, value. Every object also gives one row with a null key, so that empty objects stay.
-    Repeated records give repeated triples; hand in one row per id.
+    key, value, is_row (the object is an element of a list). Every object also gives one row with a
+    null key and ordinal -1, so that empty objects stay. Repeated records give repeated triples;
+    hand in one row per id.
     """
     records = _records(df, id_col, fields)
     rows = records.mapInPandas(_batches(fields, _triples), "field string, record_id string, raw string, shape string, chain string, ordinal int, key string, value string")
     out = _resolve(rows, _lone_flags(records, fields))
-    return out.select("field", F.replace("chain", F.lit(STEP), F.lit(".")).alias("table"), "record_id", "path", "ordinal", "key", "value")
+    return out.select("field", F.replace("chain", F.lit(STEP), F.lit(".")).alias("table"), "record_id", "path", "ordinal", "key", "value", "is_row")
+
+
+def row_triples(triples: DataFrame) -> DataFrame:
+    """The triples of the rows of the flat tables: field, table, record_id, path, ordinal, key, value.
+
+    A row is an element of a list, or the record itself (path and table ''). A lone object that is
+    no row lends its values to the row around it, under keys led by its own (`owner.name`).
+    """
+    own = F.when(F.col("is_row"), F.col("path")).otherwise(F.regexp_extract("path", r"^(.*\[\d+\])\.", 1))
+    inner = F.when(F.length("own") == F.length("path"), "").otherwise(F.expr("substr(path, if(own = '', 1, length(own) + 2))"))
+    table = F.when(F.col("inner") == "", F.col("table")).otherwise(F.expr("left(table, greatest(0, length(table) - length(inner) - 1))"))
+    key = F.when(F.col("inner") == "", F.col("key")).otherwise(F.concat("inner", F.lit("."), F.col("key")))
+    return triples.withColumn("own", own).withColumn("inner", inner).select("field", table.alias("table"), "record_id", F.col("own").alias("path"), "ordinal", key.alias("key"), "value")
+
+
+def chain_keys(triples: DataFrame) -> DataFrame:
+    """(field, table, keys): every key of each table, sorted; as few rows as the schema has chains."""
+    return triples.select("field", "table", "key").distinct().groupBy("field", "table").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+
+def flat_rows(triples: DataFrame) -> DataFrame:
+    """The rows of the flat tables of all chains: field, table, record_id, path, parent, cells.
+
+    cells maps every key of the table to its values in order: one for a scalar (null for a JSON
+    null), all of them for a list of scalars, and null where the row lacks the key. All chains are
+    pivoted in one pass.
+    """
+    rows = row_triples(triples)
+    held = rows.groupBy("field", "table", "record_id", "path").agg(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "ordinal", "value")))).alias("held"))
+    values = lambda k: F.transform(F.filter("held", lambda x: x["key"] == k), lambda x: x["value"])
+    cells = F.map_from_arrays("keys", F.transform("keys", lambda k: F.when(F.exists("held", lambda x: x["key"] == k), values(k))))
+    return held.join(chain_keys(rows), ["field", "table"]).select("field", "table", "record_id", "path", parent_path(F.col("path")).alias("parent"), cells.alias("cells"))
 
 
 def flat_table(triples: DataFrame, field: str, table: str, keys: Sequence[str]) -> DataFrame:
@@ -275,7 +316,7 @@ def flat_table(triples: DataFrame, field: str, table: str, keys: Sequence[str])
     key gives null. The triples of one object are pivoted in one pass, without a list of values.
     """
     own = triples.where((F.col("field") == field) & (F.col("table") == table))
-    cells = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == k, F.struct("ordinal", "value")))), lambda x: x["value"]), "\n").alias(k) for k in keys]
+    cells = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == k, F.struct("ordinal", "value")))), lambda x: x["value"]), "\n").alias(f"c{i}") for i, k in enumerate(keys)]
     has = [F.count_if(F.col("key") == k).alias(f"_{i}") for i, k in enumerate(keys)]
     rows = own.groupBy("record_id", "path").agg(*cells, *has)
-    return rows.select("record_id", "path", parent_path(F.col("path")).alias("parent"), *[F.when(F.col(f"_{i}") > 0, F.col(k)).alias(k) for i, k in enumerate(keys)])
+    return rows.select("record_id", "path", parent_path(F.col("path")).alias("parent"), *[F.when(F.col(f"_{i}") > 0, F.col(f"c{i}")).alias(k) for i, k in enumerate(keys)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.operators.nested import flat_table, json_triples, object_rows
+from lumenry.operators.nested import chain_keys, flat_rows, flat_table, json_triples, object_rows, row_triples
 from lumenry.operators.references import Reference, orphan_counts, orphan_references
 from lumenry.operators.rolling import rolling_usage
 from lumenry.sources.tables import read_table
@@ -62,13 +62,26 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
     return p6_objects(spark, d).groupBy("field", "table").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_id").alias("n_records"), F.count_if(F.col("parent") != "").alias("n_nested"))
 
 
+def p6_triples(spark: SparkSession, d: str) -> DataFrame:
+    """The triples of the four fields, of one row per report and the newest state of each company."""
+    reports = read_table(spark, d, "diagnostic_reports").groupBy("id").agg(F.max(F.struct("created_at", *REPORT_FIELDS)).alias("r")).select("id", "r.*")
+    return json_triples(reports, "id", REPORT_FIELDS).unionByName(json_triples(latest_companies(spark, d, "geo_details"), "id", ("geo_details",)))
+
+
+def p6_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the flat tables of every chain of the four fields, with all keys of their table."""
+    return flat_rows(p6_triples(spark, d))
+
+
 def p6_phase_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of the tasks of the phase plans, with links to their phases."""
+    """The flat table of the tasks of the phase plans, with links to their phases and every key that occurs."""
     reports = read_table(spark, d, "diagnostic_reports").groupBy("id").agg(F.max("recommendations").alias("recommendations"))
-    return flat_table(json_triples(reports, "id", ("recommendations",)), "recommendations", "phase_plan.tasks", ("title", "done", "depends_on"))
+    triples = row_triples(json_triples(reports, "id", ("recommendations",)))
+    keys = chain_keys(triples).where("table = 'phase_plan.tasks'").collect()
+    return flat_table(triples, "recommendations", "phase_plan.tasks", keys[0]["keys"] if keys else ())
 
 
-QUERIES = {f.__name__: f for f in (p2_rolling, p2_found, p3_found, p3_counts, p6_found, p6_tables, p6_phase_tasks)}
+QUERIES = {f.__name__: f for f in (p2_rolling, p2_found, p3_found, p3_counts, p6_found, p6_tables, p6_rows, p6_phase_tasks)}
 
 _DAYS = """
 WITH last AS (

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from lumenry.operators.nested import _parse_deep, flat_table, json_triples, object_rows, parse_json
+from lumenry.operators.nested import _parse_deep, flat_rows, flat_table, json_triples, object_rows, parse_json
 
 
 def rows(spark, records):
@@ -55,3 +55,26 @@ def test_triples_pivot_to_a_table(spark):
     df = spark.createDataFrame([("1", json.dumps({"t": [{"n": "x", "d": ["p", "q"]}, {"n": None}]}))], "id string, f string")
     got = {tuple(r) for r in flat_table(json_triples(df, "id", ("f",)), "f", "t", ("n", "d")).collect()}
     assert got == {("1", "t[0]", "", "x", "p\nq"), ("1", "t[1]", "", "", None)}
+
+
+def test_rows_of_every_chain_with_all_keys(spark):
+    records = [
+        ("1", json.dumps({"s": 5, "t": [{"n": "x", "o": {"k": "p", "c": [{"v": 1}]}}, {"n": None, "d": [["q"], "r"]}, {}], "h": {"u": True}})),
+        ("2", json.dumps({"s": "6", "t": {"n": "y"}})),
+        ("3", json.dumps([7, {"s": 8}])),
+    ]
+    df = spark.createDataFrame(records, "id string, f string")
+    got = {(r.record_id, r.path): (r.table, r.parent, r.cells) for r in flat_rows(json_triples(df, "id", ("f",))).collect()}
+    task = {"n": None, "o.k": None, "d": None}
+    root = {"": None, "h.u": None, "s": None}
+    assert got == {
+        ("1", ""): ("", "", root | {"s": ["5"], "h.u": ["true"]}),
+        ("1", "t[0]"): ("t", "", task | {"n": ["x"], "o.k": ["p"]}),
+        ("1", "t[0].o.c[0]"): ("t.o.c", "t[0]", {"v": ["1"]}),
+        ("1", "t[1]"): ("t", "", task | {"n": [None], "d": ["q", "r"]}),
+        ("1", "t[2]"): ("t", "", task),
+        ("2", ""): ("", "", root | {"s": ["6"]}),
+        ("2", "t[0]"): ("t", "", task | {"n": ["y"]}),
+        ("3", ""): ("", "", root | {"": ["7"]}),
+        ("3", "[1]"): ("", "", root | {"s": ["8"]}),
+    }
