@@ -98,21 +98,28 @@ def replace_group(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
 
 
-def follow_pointers(df: DataFrame, node: str, target: str, most: int = 64) -> DataFrame:
+def follow_pointers(df: DataFrame, node: str, target: str) -> DataFrame:
     """(node, root): where each node's chain of targets ends; a node in a cycle ends at the cycle's least node.
 
-    Pointers are doubled in each round, so a chain of n takes about log2 n joins. A null target, or
-    one that is no node, ends a chain. A node must have one row.
+    Pointers are doubled until none moves, so a chain of n takes about log2 n joins. A node that is
+    still on its way after as many hops as there are nodes runs into a cycle: 2^k hops, at least that
+    many, lead onto the cycle, and from there all of it has been met. A null target, or one that is
+    no node, ends a chain. A node must have one row.
     """
     nodes = df.select(F.col(node).alias("n"), F.col(target).alias("t"))
     known = nodes.select(F.col("n").alias("t"), F.lit(True).alias("k"))
-    hops = staged(nodes.join(known, "t", "left").select("n", F.when(F.col("k"), F.col("t")).alias("t"), F.least("n", F.when(F.col("k"), F.col("t"))).alias("low")))
-    for _ in range(most.bit_length()):
+    # t is 2^k hops on, or the end of the chain; low the least node of the 2^k targets met on the way
+    hops = staged(nodes.join(known, "t", "left").select("n", F.when(F.col("k"), F.col("t")).alias("t"), F.when(F.col("k"), F.col("t")).alias("low")).withColumn("more", F.col("t").isNotNull()))
+    reach, moving = 1, hops.where("more").count()
+    total = hops.count() if moving else 0
+    while moving and reach < total:
         after = hops.select(F.col("n").alias("t"), F.col("t").alias("t2"), F.col("low").alias("low2"), F.lit(True).alias("k"))
-        hops = staged(hops.join(after, "t", "left").select("n", F.when(F.col("t2").isNotNull(), F.col("t2")).otherwise(F.col("t")).alias("t"), F.least("low", F.when(F.col("t2").isNotNull(), F.col("low2"))).alias("low"), F.col("t2").isNotNull().alias("more")))
-        if hops.where("more").isEmpty():
-            return hops.select(F.col("n").alias("node"), F.coalesce("t", "n").alias("root"))
-    return hops.select(F.col("n").alias("node"), F.when(F.col("more"), F.col("low")).otherwise(F.coalesce("t", "n")).alias("root"))
+        hops = staged(hops.join(after, "t", "left").select("n", F.coalesce("t2", "t").alias("t"), F.least("low", "low2").alias("low"), F.col("t2").isNotNull().alias("more")))
+        reach, moving = reach * 2, hops.where("more").count()
+    if not moving:
+        return hops.select(F.col("n").alias("node"), F.coalesce("t", "n").alias("root"))
+    ends = hops.select(F.col("n").alias("t"), F.col("t").isNotNull().alias("ring"), F.col("low").alias("least"))
+    return hops.join(ends, "t", "left").select(F.col("n").alias("node"), F.when(F.col("ring"), F.col("least")).otherwise(F.coalesce("t", "n")).alias("root"))
 
 
 def tagged_union(parts: Mapping[str, DataFrame], key: str) -> DataFrame:

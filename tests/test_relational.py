@@ -38,6 +38,15 @@ def test_pointers_and_cycles(spark):
     assert all(got[i] == 0 for i in range(n)) and {got[100], got[101], got[102], got[103]} == {100} and got[200] == 200
 
 
+def test_long_chains_and_ways_into_cycles(spark):
+    n = 400
+    chain = [(1000 + (i * 7) % n, 1000 + (i - 1) * 7 % n if i else None) for i in range(1, n)] + [(1000, 5000), (5000, None)]
+    ring = [(2000 + i, 2000 + (i + 1) % 150) for i in range(150)]
+    way = [(i, i + 1 if i < 90 else 2077) for i in range(1, 91)]
+    got = dict(rows(R.follow_pointers(spark.createDataFrame(chain + ring + way, "n int, t int"), "n", "t")))
+    assert {got[k] for k, _ in chain} == {5000} and {got[k] for k, _ in ring + way} == {2000}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (5, 5), (None, 1)] + [(500, 600 + i) for i in range(50)]
     got = dict(rows(components(spark.createDataFrame(edges, "a int, b int"))))
