@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from lumenry.functions.refs import ref_key, uuid_text
 from lumenry.llm.dialog import is_empty_text, ordered_messages, with_previous
+from lumenry.operators.relational import follow_pointers
+from lumenry.sources.stage import staged
 
 #: Weights of a reply link: the other speaker, nearness in time, naming the candidate's speaker, shared words.
 OTHER_SPEAKER, NEARNESS, MENTION, OVERLAP = 2.0, 1.0, 0.5, 1.0
 #: Seconds after which nearness has fallen to about a third.
 PACE = 600.0
+#: Seconds within which a message is a candidate; nearness is nothing long before.
+WINDOW = 86_400
+#: Nearness, mention and shared words that a user's message needs together to go on with a thread.
+LEAST_TIE = 0.1
 
 
 def _terms(content: Column) -> Column:
@@ -48,6 +54,41 @@ def reply_links(messages: DataFrame, lookback: int = 1) -> DataFrame:
     return kept.select("conv", "id", "role", "at", "rank", "empty", "content", "prev_id", "prev_role", F.col("_best.parent_id").alias("parent_id"), F.coalesce("_best.score", F.lit(0.0)).alias("score"))
 
 
+def thread_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The likeliest parent of each message among all messages of the `window` seconds before it, and its thread.
+
+    Columns conv, id, role, at, rank, content, prev_id, parent_id, score and root_id (the message
+    at the root of its tree of links). Scores are those of reply_links; the nearer candidate wins a
+    tie. Any message with words but an assistant's begins a thread if no candidate ties it by more
+    than a change of speaker (LEAST_TIE); one without words cannot tell and takes the likeliest. An
+    assistant's without a candidate answers the message directly before. Candidates meet by conversation and stretch of time, so that the pairs follow the pace
+    of a conversation, not its length.
+    """
+    rows = ordered_messages(messages, "content", _terms(F.col("content")).alias("terms")).where("role is not null and at is not null")
+    known = staged(with_previous(rows.select("conv", "id", "role", "at", "rank", "terms", F.when(F.contains("content", F.lit("@")), F.lower("content")).alias("calls")), ["role", "at"]).withColumn("sec", F.unix_micros(F.col("at").cast("timestamp")) / 1e6).withColumn("num", F.monotonically_increasing_id()))
+    stretch = F.floor(F.col("sec") / window)
+    asking = known.withColumn("stretch", stretch)
+    earlier = known.select("conv", *[F.col(c).alias(f"c_{c}") for c in ("num", "id", "role", "at", "rank", "terms", "sec")], F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    order = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("at", "rank", "id")])
+    met = asking.join(earlier, ["conv", "stretch"]).where((order("c_") < order("")) & (F.col("sec") - F.col("c_sec") <= window))
+    shared = F.size(F.array_intersect("terms", "c_terms")) / F.greatest(F.lit(1), F.least(F.size("terms"), F.size("c_terms")))
+    tie = NEARNESS * F.exp((F.col("c_sec") - F.col("sec")) / PACE) + F.when(F.contains("calls", F.concat(F.lit("@"), F.col("c_role"))), MENTION).otherwise(0.0) + OVERLAP * shared
+    tied = met.withColumn("tie", tie).where((F.col("role") == "assistant") | (F.size("terms") == 0) | (F.col("tie") >= LEAST_TIE))
+    score = F.when(F.col("role") != F.col("c_role"), OTHER_SPEAKER).otherwise(0.0) + F.col("tie")
+    best = tied.groupBy("num").agg(F.max(F.struct(score.alias("score"), F.col("c_at").alias("at"), F.col("c_rank").alias("rank"), F.col("c_id").alias("id"), F.col("c_num").alias("num"))).alias("best"))
+    direct = F.col("best").isNull() & (F.col("role") == "assistant")
+    chosen = known.select("conv", "id", "num", "role", "at", "rank", "prev_id", "prev_role", "prev_at").join(best, "num", "left").select(
+        "conv", "id", "role", "at", "rank", "num", "prev_id", F.when(direct, F.col("prev_at")).alias("parent_at"), F.when(direct, F.col("prev_id")).otherwise(F.col("best.id")).alias("parent_id"),
+        F.when(direct & (F.col("role") != F.col("prev_role")), OTHER_SPEAKER).otherwise(F.coalesce("best.score", F.lit(0.0))).alias("score"), F.col("best.num").alias("parent"),
+    )
+    numbers = known.select("conv", F.col("id").alias("parent_id"), F.col("at").alias("parent_at"), F.col("num").alias("direct"))
+    links = staged(chosen.where("parent is not null or parent_id is null").unionByName(chosen.where("parent is null and parent_id is not null").join(numbers, ["conv", "parent_id", "parent_at"]).withColumn("parent", F.col("direct")).drop("direct")))
+    roots = follow_pointers(links, "num", "parent").join(links.select(F.col("num").alias("root"), F.col("id").alias("root_id")), "root")
+    threads = links.join(roots.select(F.col("node").alias("num"), "root_id"), "num").select("conv", "id", "role", "at", "rank", "prev_id", "parent_id", "score", "root_id")
+    key = ["conv", "id", "role", "at", "rank"]
+    return rows.select(*key, "content").dropDuplicates(key).join(threads, key)
+
+
 def conversation_state(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Per conversation: conversation_id, reason (null where it can be used), n_messages.
 
@@ -61,11 +102,11 @@ def conversation_state(conversations: DataFrame, messages: DataFrame) -> DataFra
     ids = conversations.select(ref_key(F.col("id")).alias("conv")).where("conv is not null").distinct()
     rows = ordered_messages(messages, is_empty_text(F.col("content")).alias("empty"))
     seen = rows.groupBy("conv").agg(F.bool_and("empty").alias("all_empty"), F.bool_or(F.col("role").isNull() | F.col("at").isNull()).alias("unordered"))
-    links = reply_links(messages)
+    links = with_previous(rows.where("role is not null and at is not null"), ["role"])
     answered = (F.col("role") == "assistant") & (F.col("prev_role") == "user")
     judged = links.groupBy("conv").agg(
         F.count(F.lit(1)).alias("n_messages"),
-        F.bool_or((F.col("role") == "assistant") & (F.col("parent_id").isNull() | (F.col("prev_role") == "assistant"))).alias("misplaced"),
+        F.bool_or((F.col("role") == "assistant") & (F.col("prev_id").isNull() | (F.col("prev_role") == "assistant"))).alias("misplaced"),
         F.bool_or(((F.col("prev_role") == "user") & ~answered) | (answered & F.col("empty"))).alias("unanswered"),
         F.max_by("role", F.struct("at", "rank", "id")).alias("last_role"),
     )
@@ -76,14 +117,15 @@ def conversation_state(conversations: DataFrame, messages: DataFrame) -> DataFra
 
 
 def rebuilt_conversations(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """The turns of the usable conversations: conversation_id, turn (from 1), message_id, parent_id, role, content.
+    """The turns of the usable conversations: conversation_id, turn (from 1), message_id, parent_id, root_id, role, content.
 
     Turns are numbered by day first, then shifted by the turns of earlier days, so that no task has
-    to hold a whole conversation. parent_id links the turns to a tree.
+    to hold a whole conversation. parent_id links the turns to trees, one for each thread; root_id is
+    the message that began the thread.
     """
     usable = conversation_state(conversations, messages).where("reason is null").select(ref_key(F.col("conversation_id")).alias("conv"))
-    links = reply_links(messages).withColumn("day", F.to_date("at")).join(usable, "conv", "left_semi")
+    links = thread_links(messages).withColumn("day", F.to_date("at")).join(usable, "conv", "left_semi")
     days = links.groupBy("conv", "day").agg(F.count(F.lit(1)).alias("n"))
     before = days.withColumn("before", F.sum("n").over(Window.partitionBy("conv").orderBy("day")) - F.col("n")).drop("n")
     numbered = links.withColumn("nth", F.row_number().over(Window.partitionBy("conv", "day").orderBy("at", "rank", "id"))).join(before, ["conv", "day"])
-    return numbered.select(uuid_text(F.col("conv")).alias("conversation_id"), (F.col("before") + F.col("nth")).alias("turn"), F.col("id").alias("message_id"), "parent_id", "role", "content")
+    return numbered.select(uuid_text(F.col("conv")).alias("conversation_id"), (F.col("before") + F.col("nth")).alias("turn"), F.col("id").alias("message_id"), "parent_id", "root_id", "role", "content")

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lumenry.llm.conversations import conversation_state, rebuilt_conversations, reply_links
+from lumenry.llm.conversations import conversation_state, rebuilt_conversations, reply_links, thread_links
 from lumenry.llm.pairs import _open, _other_language, _refuses, _same, language, pair_defects, prompt_response_pairs
 
 MESSAGE = "id string, conversation_id string, role string, content string, created_at timestamp_ntz, key string, conv string, day string"
@@ -103,3 +103,17 @@ def test_links_look_back(spark):
     got = {r.id: (r.parent_id, r.prev_id) for r in reply_links(frame(spark, rows), lookback=3).collect()}
     assert got["1"] == (None, None) and got["2"][0] == "1" and got["5"][1] == "4" and got["5"][0] in ("3", "4") and got["4"][1] == "3"
     assert {k: v[1] for k, v in got.items()} == {"1": None, "2": "1", "3": "2", "4": "3", "5": "4"}
+
+
+def test_interleaved_threads(spark):
+    m = lambda i, role, text, minute: (str(i), conv(1), role, text, T0 + dt.timedelta(minutes=minute))
+    rows = [
+        m(1, "user", "solar panels price roof", 0), m(2, "user", "invoice tax number missing", 40), m(3, "user", "bicycle repair garage", 80), m(4, "user", "garden fence paint", 120), m(5, "user", "kitchen lamp broken", 160),
+        m(6, "ai", "solar panels price roof", 165), m(7, "ai", "invoice tax number missing", 166), m(8, "user", "solar panels roof warranty", 200), m(9, "user", "wholly different", 3000), m(10, "ai", "gladly", 6000),
+    ]
+    frame_ = frame(spark, rows + rows[:2])
+    got = {int(r.id): (r.parent_id, r.root_id) for r in thread_links(frame_).collect()}
+    assert got == {1: (None, "1"), 2: (None, "2"), 3: (None, "3"), 4: (None, "4"), 5: (None, "5"), 6: ("1", "1"), 7: ("2", "2"), 8: ("6", "1"), 9: (None, "9"), 10: ("9", "9")}
+    pairs = [m(1, "user", "solar panels", 0), m(2, "ai", "solar panels answer", 1), m(3, "user", "invoice number", 60), m(4, "ai", "invoice number answer", 61), m(5, "user", "solar panels again", 100), m(6, "ai", "gladly", 101)]
+    turns = rebuilt_conversations(spark.createDataFrame([(conv(1),)], "id string"), frame(spark, pairs)).orderBy("turn").collect()
+    assert [(r.turn, r.parent_id, r.root_id) for r in turns] == [(1, None, "1"), (2, "1", "1"), (3, None, "3"), (4, "3", "3"), (5, "2", "1"), (6, "5", "1")]
