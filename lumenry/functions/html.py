@@ -203,8 +203,8 @@ def page_signals(url: Column, html: Column) -> Column:
     return F.pandas_udf(run, SIGNALS)(url, html)
 
 
-def visible_text(html: Column, limit: int = 8000) -> Column:
-    """Text outside scripts, styles, navigation and footers on one line, cut to the characters a profile takes of a page."""
+def visible_text(html: Column, limit: int | None = None) -> Column:
+    """Text outside scripts, styles, navigation and footers on one line, whole or cut to `limit` characters."""
 
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(lambda h: _joined([d for d, inside in _parse(h).texts if not inside & _CHROME])[:limit])

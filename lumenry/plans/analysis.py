@@ -101,10 +101,16 @@ def keyword_pack_summary(spark, d):
     return keyword_summary(keyword_packs(spark, d))
 
 
-def chunks(spark, d):
-    """Windows of 400 words, 50 of them shared, at most 20 of a text."""
+def document_windows(spark, d, most: int | None = None):
+    """Windows of 400 words, 50 of them shared, of whole texts or at most `most` of each."""
     rows = read_table(spark, d, "documents").select("doc_id", F.posexplode(text_windows("text")).alias("chunk_index", "text"))
-    return rows.where("chunk_index < 20").select("doc_id", "chunk_index", F.md5("text").alias("digest"))
+    kept = rows if most is None else rows.where(F.col("chunk_index") < most)
+    return kept.select("doc_id", "chunk_index", F.md5("text").alias("digest"))
+
+
+def chunks(spark, d):
+    """The windows of a text that are indexed, at most 20 as its SQL has it; document_windows has all."""
+    return document_windows(spark, d, 20)
 
 
 def text_windows(column: str):
@@ -221,7 +227,7 @@ def page_recommendations(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    page_diagnostics, page_tag_counts, page_visible_text, report_overall, text_measures, search_terms, slugs, normalized_urls, firm_titles, profile_labels, stable_scores, keyword_packs, keyword_pack_summary, chunks, lexical_recommend, cosine_top, label_centroids, backfilled_neighbours,
+    page_diagnostics, page_tag_counts, page_visible_text, report_overall, text_measures, search_terms, slugs, normalized_urls, firm_titles, profile_labels, stable_scores, keyword_packs, keyword_pack_summary, document_windows, chunks, lexical_recommend, cosine_top, label_centroids, backfilled_neighbours,
     structured_data, csv_rows, report_markdown, outermost_json, geo_dimensions, order_chain_roots, order_components, user_groups, site_links, site_pages, page_recommendations,
 )}
 

@@ -58,3 +58,12 @@ def test_cleaning_headings_summary(spark):
     r = df.select(html.sanitized(F.col("h")).alias("c"), html.headings(F.col("h")).alias("t"), html.article_summary(F.col("h")).alias("s"), html.visible_text(F.col("h")).alias("v"), html.profile_from_page(F.col("h")).alias("p")).first()
     assert "script" not in r.c and "javascript" not in r.c and "onclick" not in r.c and "data:image/png" in r.c
     assert [x.anchor for x in r.t] == ["a-b", "a-b-2"] and r.s == "t l" and r.v == "A b A b t l" and r.p.tags == []
+
+
+def test_whole_texts(spark, tmp_path):
+    from lumenry.plans.analysis import chunks, document_windows
+
+    df = spark.createDataFrame([("<p>" + "ab " * 6000 + "</p>",)], "h string")
+    assert df.select(html.visible_text(F.col("h")).alias("v"), html.visible_text(F.col("h"), 8000).alias("c")).select(F.length("v"), F.length("c")).first()[:] == (17999, 8000)
+    spark.createDataFrame([("d", "w " * 9000)], "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert document_windows(spark, str(tmp_path)).agg(F.count("digest"), F.max("chunk_index")).first()[:] == (26, 25) and chunks(spark, str(tmp_path)).count() == 20
