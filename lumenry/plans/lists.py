@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenry.functions.refs import ref_key
 from lumenry.functions.scores import band
-from lumenry.functions.text import excerpt
+from lumenry.functions.text import excerpt, query_terms
 from lumenry.operators import relational as R
 from lumenry.sources.tables import read_table
 
@@ -322,6 +322,34 @@ def shared_tags(spark, d):
     return rows.join(centre, "headquarters").select("id", F.col("c.id").alias("centre"), F.size(F.array_intersect("tags", F.col("c.tags"))).alias("n_shared"))
 
 
+def structural_score(a: str, b: str) -> Column:
+    """How much organisation b resembles a (column prefixes): category 28, a shared tag 14, both certified 4, near scores up to 12, and 1.2 for each search term of a found in b."""
+    x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
+    category = F.when((x("category") == y("category")) & (x("category") != ""), 28.0).otherwise(0.0)
+    tags = 14.0 * F.size(F.array_intersect(x("tag_list"), y("tag_list")))
+    certified = F.when(x("is_geo_certified") & y("is_geo_certified"), 4.0).otherwise(0.0)
+    near = F.when((x("geo") != 0) & (y("geo") != 0), F.greatest(F.lit(0.0), 12.0 - F.abs(x("geo") - y("geo")) / 5.0)).otherwise(0.0)
+    return category + tags + certified + near + 1.2 * F.size(F.filter(x("terms"), lambda t: F.contains(y("blob"), t)))
+
+
+def similar_organisations(rows: DataFrame, asked: Column, k: int = 3) -> DataFrame:
+    """The k organisations most like each asked one, among all others: query, rank, id, score; ties by geo score, votes and id."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    tagged = rows.withColumn("tag_list", F.array_distinct(F.filter(F.transform(R.string_list(F.col("tags")), lambda t: F.lower(F.trim(t))), lambda t: t.isNotNull() & (t != "")))).withColumn("geo", F.nanvl(F.coalesce("geo_score", F.lit(0.0)), F.lit(0.0)))
+    blob = F.concat_ws(" ", low("name"), low("category"), F.array_join("tag_list", " "), low("short_description"), low("description"), low("funding_stage"))
+    every = tagged.withColumn("blob", blob).select("id", "category", "tag_list", "is_geo_certified", "geo", "upvotes", "blob")
+    base = every.where(asked).withColumn("terms", query_terms(F.col("blob"))).select(*[F.col(c).alias(f"q_{c}") for c in ("id", "category", "tag_list", "is_geo_certified", "geo", "terms")])
+    pairs = base.join(every, F.col("q_id") != F.col("id"))
+    scored = pairs.select(F.col("q_id").alias("query"), "id", "geo", "upvotes", F.round(structural_score("q_", ""), 6).alias("score"))
+    return R.top_per_group(scored, ["query"], [F.desc("score"), F.desc("geo"), F.desc(F.coalesce("upvotes", F.lit(0))), F.col("id")], k).select("query", "rank", "id", "score")
+
+
+def similar_companies(spark, d):
+    """The three published organisations most like each of about every hundredth one, picked by id, among all published ones."""
+    rows = companies(spark, d).where("publish_status = 'published'")
+    return similar_organisations(rows, F.pmod(F.crc32("id"), F.lit(100)) == 0)
+
+
 def missing_types(spark, d):
     wanted = F.array(*map(F.lit, ("WebSite", "Organization", "FAQPage", "Article", "BreadcrumbList")))
     found = F.coalesce(F.from_json(F.get_json_object("schema_analysis", "$.found_types"), "array<string>"), F.array().cast("array<string>"))
@@ -371,7 +399,7 @@ QUERIES = {f.__name__: f for f in (
     published_scan, ids_semi_scan, lookup_by_path_key, filter_equal_optional, search_two_columns, search_tags, search_many_columns, filter_tag_contained, filter_visibility, filter_has_recommendations, filter_enum, filter_half_open_day, filter_score_present, profile_missing_fields,
     project_brief, project_excerpt, search_conversations, search_reports, semi_diagnostic_messages, lookup_report_company, lookup_message_report, conversation_rollup, related_conversations, trend_calendar, graph_pairs, table_counts, conditional_counts, enum_counts_zero, score_bands, public_score_bands,
     votes_by_day, view_totals, type_tokens_top, usage_groups_filtered, users_history, usage_day_totals, category_counts, group_by_first_tag, role_times, latest_message, latest_report, order_neighbours, latest_in_category, keep_first_vote, vote_counts, first_n_lines, sort_score_nulls_last, sort_views,
-    sort_status_priority, recent_failures, page_summary, page_totals, shared_tags, missing_types, upsert_usage, insert_absent, replaced_groups, anonymised_conversations, customer_nation_lookup, duplicate_fields,
+    sort_status_priority, recent_failures, page_summary, page_totals, shared_tags, similar_companies, missing_types, upsert_usage, insert_absent, replaced_groups, anonymised_conversations, customer_nation_lookup, duplicate_fields,
 )}
 
 def _k(c: str) -> str:

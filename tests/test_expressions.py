@@ -40,3 +40,14 @@ def test_scores(spark):
     assert 35 <= got[0] <= 99 and got[1] == "a" and abs(got[2] - 0.5**0.5) < 1e-12 and got[3] == 100 and got[4] is None
     strong = dict(name=F.lit("brand watch"), category=F.lit("analytics"), tags=F.array(F.lit("brand")), blob=F.lit("brand watch analytics"), certified=F.lit(True), geo=F.lit(0.0))
     assert spark.range(1).select(scores.lexical_score(F.array(F.lit("brand")), **strong)).first()[0] == 34 + 20 + 5 + 2
+
+
+def test_similar_organisations_meet_all_others(spark):
+    from lumenry.plans.lists import similar_organisations
+
+    row = lambda i, category, tags, ok, geo, text: (i, f"n{i}", category, tags, text, None, None, ok, geo, 0)
+    rows = [row("a", "x", '["T", "u"]', True, 50.0, "solar"), row("b", "x", '["t"]', True, 45.0, ""), row("c", "y", '["t", "U", "u"]', False, None, ""), row("d", "", "[]", None, float("nan"), "solar"), row("e", None, None, None, 0.0, "")]
+    df = spark.createDataFrame(rows, "id string, name string, category string, tags string, short_description string, description string, funding_stage string, is_geo_certified boolean, geo_score double, upvotes int")
+    got = [tuple(r) for r in similar_organisations(df, F.col("id") == "a").orderBy("rank").collect()]
+    assert got == [("a", 1, "b", 57.0), ("a", 2, "c", 28.0), ("a", 3, "d", 1.2)]
+    assert similar_organisations(df, F.lit(True), 9).count() == 20
