@@ -23,19 +23,23 @@ _SIGN_OFF = re.compile(r"(?:^|[.!?…。！？)\]>]\s*|\n\s*)(?:greetings|(?:bes
 _EMOJI = re.compile(r"[☀-➿⭐️\U0001f000-\U0001faff]$")
 #: Counter entries a task keeps before it sends them on.
 FLUSH = 300_000
+#: Weight, in occurrences, of what the shorter sequences say about a longer one, and the share of ends assumed of a word never seen.
+BACKING, PRIOR = 2.0, 0.1
 #: Lengths of the counted sequences, in words and in Chinese characters.
 WORDS, CHARS = (3, 2, 1), (6, 4, 2)
 
 
 _SEAM = "\x1d"
 _MIX, _BOS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
-_WORD, _STOPS, _OTHER, _END = 0, 1, 2, 3
-#: What follows a word: the end of a sentence or line, something else, the end of a text of one sentence, or of another text.
-ENDS, GOES_ON, WHOLE, BARE = 0, 1, 2, 3
+_WORD, _STOPS, _OTHER, _END, _DOTS = 0, 1, 2, 3, 4
+#: What follows a word: the end of a sentence or line, something else, the end of a text of one sentence, or of another text, or dots
+#: (which may stand for text left out, so that they prove neither).
+ENDS, GOES_ON, WHOLE, BARE, DOTTED = 0, 1, 2, 3, 4
+_LEFT_OUT = re.compile(r"…|\.{2,}")
 
 
 def _kind(token: str) -> int:
-    return _END if token == _SEAM else _STOPS if _STOP.match(token) else _WORD if token[0].isalnum() else _OTHER
+    return _END if token == _SEAM else _DOTS if _LEFT_OUT.match(token) else _STOPS if _STOP.match(token) else _WORD if token[0].isalnum() else _OTHER
 
 
 def scan(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +55,7 @@ def scan(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     chinese = np.fromiter(("一" <= t <= "鿿" for t in names), bool, len(names))
     at = np.flatnonzero(kinds == _WORD)
     text = np.cumsum(kinds == _END)[at]
-    sentence = np.cumsum((kinds == _STOPS) | (kinds == _END))[at]
+    sentence = np.cumsum((kinds == _STOPS) | (kinds == _END) | (kinds == _DOTS))[at]
     first = np.r_[True, sentence[1:] != sentence[:-1]] if len(at) else np.zeros(0, bool)
     place = np.arange(len(at))
     place = place - np.maximum.accumulate(np.where(first, place, 0)) if len(at) else place
@@ -60,7 +64,7 @@ def scan(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     after = kinds[marks[np.searchsorted(marks, at, side="right")]] if len(at) else at
     opening = np.r_[True, text[1:] != text[:-1]] if len(at) else first
     only = (sentence == sentence[np.maximum.accumulate(np.where(opening, np.arange(len(at)), 0))]) if len(at) else first
-    follows = np.select([after == _STOPS, after == _WORD, only], [ENDS, GOES_ON, WHOLE], BARE)
+    follows = np.select([after == _STOPS, after == _WORD, after == _DOTS, only], [ENDS, GOES_ON, DOTTED, WHOLE], BARE)
     h = hashes[codes[at]]
 
     def sequences(n: int) -> np.ndarray:
@@ -82,11 +86,13 @@ def scan(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def ending_counts(texts: DataFrame, column: str) -> DataFrame:
     """(gram, n_end, n_mid, n_last): how often each word sequence precedes an end of sentence or line, another word, or the bare end of a text.
 
-    Bare ends are counted only for sequences that are a whole text, such as short titles, since a
-    limit that cuts many texts would make the pieces it leaves look like ends. All texts count in
-    full. Tasks add up their counts before the shuffle, so frequent sequences cost one row per task
-    and batch of counts. Null and empty texts add nothing.
+    Bare ends are counted only for sequences that are a whole text, such as
+    short titles, since a limit that cuts many texts would make the pieces it leaves look like ends;
+    dots prove neither an end nor a middle. All texts count in full. Tasks add up their counts before
+    the shuffle, so frequent sequences cost one row per task and batch of counts. Null and empty
+    texts add nothing.
     """
+    names = ("n_end", "n_mid", "n_last")
 
     def merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
         return pd.concat(parts, ignore_index=True).groupby("gram", as_index=False, sort=False).sum()
@@ -97,8 +103,8 @@ def ending_counts(texts: DataFrame, column: str) -> DataFrame:
             _, follows, grams, whole = scan(pdf["text"].tolist())
             kept = ((follows == ENDS) | (follows == GOES_ON))[:, None] | ((follows == WHOLE)[:, None] & whole)
             what = np.broadcast_to(follows[:, None], grams.shape)[kept]
-            codes, names = pd.factorize(grams[kept])
-            parts.append(pd.DataFrame({"gram": names} | {c: np.bincount(codes[what == w], minlength=len(names)) for c, w in (("n_end", ENDS), ("n_mid", GOES_ON), ("n_last", WHOLE))}))
+            codes, found = pd.factorize(grams[kept])
+            parts.append(pd.DataFrame({"gram": found} | {c: np.bincount(codes[what == w], minlength=len(found)) for c, w in zip(names, (ENDS, GOES_ON, WHOLE), strict=True)}))
             if sum(map(len, parts)) > FLUSH:
                 parts = [merged(parts)]
                 if len(parts[0]) > FLUSH:
@@ -107,7 +113,7 @@ def ending_counts(texts: DataFrame, column: str) -> DataFrame:
             yield merged(parts)
 
     rows = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).mapInPandas(count, "gram long, n_end long, n_mid long, n_last long")
-    return rows.groupBy("gram").agg(F.sum("n_end").alias("n_end"), F.sum("n_mid").alias("n_mid"), F.sum("n_last").alias("n_last"))
+    return rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
 
 
 _BROKEN = re.compile(r"(?:<[^<>\s]{0,12}|&[a-z#0-9]{0,6})$", re.IGNORECASE)
@@ -146,23 +152,26 @@ def last_grams(bares: Sequence[str]) -> list[list[int]]:
     tails = [b if len(b) <= 400 else b[-400:].partition(" ")[2] or b[-400:] for b in bares]
     text, follows, grams, _ = scan(tails)
     out: list[list[int]] = [[] for _ in bares]
-    for i in np.flatnonzero(follows >= WHOLE):
+    for i in np.flatnonzero((follows == WHOLE) | (follows == BARE)):
         out[text[i]] = grams[i].tolist()
     return out
 
 
 def end_likelihood(candidates: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, likelihood) for rows (key, grams): the share of ends among the occurrences of its last words.
+    """(key, likelihood) for rows (key, grams) of texts that end in the sequences: the share of ends among the occurrences of the last words.
 
-    The longest of the sequences that occurs elsewhere at least three times decides; where none
-    does, the likelihood is 0, as after a broken word, and where only the shortest does, it counts
-    for a third, since its neighbours speak against it. The text's own bare end does not count. AQE
-    splits frequent sequences; `counts` has one row for each.
+    The share starts from that of the next shorter sequence, which weighs as much as BACKING
+    occurrences, and the shortest one's from PRIOR, so that no number of occurrences is a threshold.
+    The text's own bare end does not count. AQE splits frequent sequences; `counts` has one row for
+    each.
     """
     each = candidates.select("key", F.posexplode("grams").alias("level", "gram"))
     joined = each.join(counts, "gram", "left")
-    ends = F.coalesce(F.col("n_end"), F.lit(0)) + F.greatest(F.coalesce(F.col("n_last"), F.lit(0)) - 1, F.lit(0))
-    total = ends + F.coalesce(F.col("n_mid"), F.lit(0))
-    scored = joined.select("key", "level", ends.alias("ends"), total.alias("total"))
-    best = F.min(F.when(F.col("total") >= 3, F.struct("level", (F.col("ends") / F.col("total")).alias("q"))))
-    return scored.groupBy("key").agg(best.alias("best")).select("key", F.when(F.col("best.level") == len(WORDS) - 1, F.col("best.q") / 3).otherwise(F.coalesce("best.q", F.lit(0.0))).alias("likelihood"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ends = n("n_end") + F.greatest(n("n_last") - 1, F.lit(0))
+    scored = joined.select("key", "level", ends.alias("ends"), (ends + n("n_mid")).alias("total"))
+    at = scored.groupBy("key").agg(*[F.max(F.when(F.col("level") == i, F.struct("ends", "total"))).alias(f"l{i}") for i in range(len(WORDS))])
+    q = F.lit(PRIOR)
+    for i in reversed(range(len(WORDS))):
+        q = (F.col(f"l{i}.ends") + BACKING * q) / (F.col(f"l{i}.total") + BACKING)
+    return at.select("key", q.alias("likelihood"))

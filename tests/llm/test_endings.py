@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenry.llm.endings import BARE, ENDS, GOES_ON, WHOLE, bare_end, end_likelihood, ending_counts, is_short, last_grams, scan
+from lumenry.llm.endings import BARE, DOTTED, ENDS, GOES_ON, WHOLE, bare_end, end_likelihood, ending_counts, is_short, last_grams, scan
 from lumenry.llm.truncation import length_limits, share_per_source, truncated
 
 SENTENCES = ["The pump works well in a cold garage", "We bought it for the small office last year", "Nobody noticed any noise during the long winter", "It survived two falls from the kitchen table", "The cable fits perfectly and feels solid today"]
@@ -73,14 +73,37 @@ def test_limits_show_under_the_right_measure(spark):
     rng = random.Random(2)
     texts = [("é" * rng.randrange(5) + " ".join(rng.choice(SENTENCES) for _ in range(9))).encode()[:150].decode("utf-8", "ignore") for _ in range(300)]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    sizes = {(r.measure, r["size"]) for r in length_limits(_inspected(df, "doc_id", "source", "text").where("not finished")).collect()}
+    sizes = {(r.measure, r["size"]) for r in length_limits(_inspected(df, "doc_id", "source", "text")).collect()}
     assert ("utf8", 150) in sizes
 
 
+def test_limits_of_small_sources_and_short_texts(spark):
+    sized = lambda sizes: spark.createDataFrame([("s", [("chars", n)]) for n in sizes], "source string, measures array<struct<measure:string,size:int>>")
+    limits = lambda sizes: [(r["size"], r.n) for r in length_limits(sized(sizes)).collect()]
+    assert limits([24] * 4 + [60, 70]) == [(24, 4)] and limits([24, 24, 60, 70]) == []
+    assert limits([n for n in range(100, 200) for _ in range(5)]) == [] and limits([n for n in range(100, 200) for _ in range(5)] + [150] * 60) == [(150, 65)]
+
+
+def test_dots_prove_no_end(spark):
+    _, follows, _, _ = scan(["one two… three four...", "five"])
+    assert follows.tolist() == [GOES_ON, DOTTED, GOES_ON, DOTTED, WHOLE]
+    texts = [("the pump works well in a cold garage.",)] * 30 + [("the pump works well in a co...",)] * 9
+    counts = ending_counts(spark.createDataFrame(texts, "t string"), "t")
+    rows = spark.createDataFrame([(1, last_grams(["works well in a co"])[0]), (2, last_grams(["in a cold garage"])[0])], "key long, grams array<long>")
+    got = {r.key: r.likelihood for r in end_likelihood(rows, counts).collect()}
+    assert got[1] < 0.15 and got[2] > 0.9
+
+
+def test_every_reason_is_named(spark):
+    docs, _ = documents(spark)
+    rows = truncated(docs).collect()
+    assert all(r.reason == r.reasons[0] for r in rows) and any(r.reasons == ["ending", "limit"] for r in rows)
+
+
 def test_likelihood_counts_whole_corpus(spark):
     texts = spark.createDataFrame([("we like it here.",)] * 5 + [("like it here and there.",)] * 5, "t string")
     counts = ending_counts(texts, "t")
     rows = spark.createDataFrame([(1, last_grams(["they like it here"])[0]), (2, last_grams(["and we like it"])[0]), (3, last_grams(["they unseenword"])[0])], "key long, grams array<long>")
     got = {r.key: r.likelihood for r in end_likelihood(rows, counts).collect()}
-    assert got[1] == 0.5 and got[2] == 0.0 and got[3] == 0.0
+    assert abs(got[1] - 0.5) < 0.05 and got[2] < 0.05 and got[3] < 0.15
     assert ending_counts(texts.where(F.lit(False)), "t").count() == 0
