@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -21,7 +23,7 @@ UNLIKELY = 0.15
 
 # Phrases with which answers decline, by language.
 _REFUSALS = {
-    "en": r"(?:i(?:'m| am) (?:very |so |really )?sorry,? but i|i (?:can(?:'t|not| not)|could not|won't|will not|am not able to|am unable to|must not|may not|do not want to|don't want to|prefer not to|would prefer not|have to (?:decline|refuse|pass)|must (?:decline|refuse|pass)))\b|\b(?:won't|not) be able to (?:assist|help|answer|comply|discuss)|rather not (?:comment|say|discuss|answer)|guidelines do not (?:let|allow|permit)|policy (?:does not|doesn't|forbids)|must not (?:give|provide|offer)|not able to (?:answer|help|assist|discuss|comply)|nothing i can (?:share|say|offer|do)|not be appropriate|requests like this|no comment on|told not to|(?:have|has) to decline|not (?:allowed|permitted) to|can(?:'t|not) (?:say|help|assist|discuss|comply|answer|provide|share|talk|comment|support)|unable to (?:help|assist|answer|comply|provide|discuss)|against (?:my|our) (?:rules|policy|guidelines)|refuse to (?:answer|help)|not something i can|is off limits|blocked for me",
+    "en": r"(?:i(?:'m| am) (?:very |so |really )?sorry,? but i|i (?:can(?:'t|not| not)|could not|won't|will not|am not able to|am unable to|must not|may not|do not want to|don't want to|prefer not to|would prefer not|have to (?:decline|refuse|pass)|must (?:decline|refuse|pass)))\b|\b(?:won't|not) be able to (?:assist|help|answer|comply|discuss)|rather not (?:comment|say|discuss|answer)|guidelines do not (?:let|allow|permit)|policy (?:does not|doesn't|forbids)|must not (?:give|provide|offer)|not able to (?:answer|help|assist|discuss|comply)|nothing i can (?:share|say|offer|do)|not be appropriate|requests like this|no comment on|told not to|(?:have|has) to decline|not (?:allowed|permitted) to|can(?:'t|not) (?:say|help|assist|discuss|comply|answer|provide|share|talk|comment|support)|unable to (?:help|assist|answer|comply|provide|discuss)|against (?:my|our) (?:rules|policy|guidelines)|refuse to (?:answer|help)|not something (?:i|we)(?:'m| am| are| can)|outside what (?:i|we)(?:'m| am| are| can)|is off limits|blocked for me",
     "de": r"leider (?:muss|kann|darf)|(?:kann|darf|möchte|werde|will) ich (?:\w+ ){0,4}(?:nicht|keine)|darf ich nicht|muss ich passen|nicht gestattet|nicht erlaubt|sage ich nichts|gebe ich (?:\w+ )?keine|keine auskunft|ablehnen|gesperrt|nicht (?:helfen|beantworten|äußern|weiterhelfen|behandeln|besprechen)|außerhalb meiner vorgaben|(?:meine )?(?:richtlinien|vorgaben) (?:erlauben|lassen|verbieten)|untersagt|verboten|kein kommentar|nichts,? (?:sagen|mitteilen|was ich)|unpassend|steht mir nicht zu",
     "es": r"no (?:puedo|debo|podré|podemos|me es posible|quiero|doy|ofrezco|voy a)|no me está permitido|no tengo permiso|(?:debo|tengo que) (?:negarme|rechazar|declinar)|vedad[oa]|prefiero no|sin comentarios|no sería (?:apropiado|adecuado|correcto)|mis normas|queda fuera|me (?:han pedido|piden) que no|no hay nada que|prohibid[oa]|no (?:está|estoy) (?:permitido|autorizad)|bloquead[oa]s? para mí|nada (?:que decir|que pueda|puedo)",
     "fr": r"je ne (?:peux|puis|donne|donnerai|dois|veux|suis|saurais|pourrai|fournis|commente)|il m'est (?:interdit|impossible)|m'est (?:fermé|interdit|impossible)|m'est pas (?:permis|possible)|préfère ne pas|dois (?:\w+ )?(?:refuser|décliner)|rien le droit|pas le droit|de mon cadre|mes (?:règles|consignes)|aucun commentaire|pas de commentaire|ne serait pas (?:approprié|convenable|correct)|rien (?:à|que je puisse) (?:dire|partager)|on m'a demandé de ne pas|pas autorisé|bloquées? pour moi",
@@ -33,8 +35,10 @@ _CLOSER = re.compile(r"please (?:contact|consult|ask|see)|qualified|adviser|advi
 #: Signs that a sentence goes on to help after all.
 _BUT = re.compile(r"\b(?:but the|still,? the|however|nevertheless|even so|instead|here is|here are|the following|aber der|aber die|trotzdem|dennoch|hier ist|folgende|pero el|pero la|sin embargo|aquí tienes|mais le|mais la|cependant|toutefois|voici)\b|但是?(?:报告|下面|以下)|不过|下面是|以下是", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
-#: A refusal is no longer than this many sentences and characters (Chinese counted thrice), one of them before it declines.
-REFUSAL_SENTENCES, REFUSAL_CHARS = 3, 260
+#: Margin of words by which a language counts as known.
+KNOWN = 2.5
+#: Least share of characters that a copy has in common with the question, and lengths up to which two texts are aligned character by character at once.
+COPIED, ALIGNED = 0.88, 2000
 
 # Frequent words that tell the languages apart.
 _WORDS = {
@@ -80,49 +84,109 @@ def language(text: str) -> tuple[str, float]:
     return (max(score, key=score.get), first - second) if first > second else ("", 0.0)
 
 
+def _anchors(a: str, b: str) -> list[tuple[int, int, int]]:
+    """Places (in a, in b, length) of short sequences that each text holds once, in rising order in both."""
+    best: list[tuple[int, int, int]] = []
+    for k in (6, 12, 24):
+        once: dict[str, int] = {}
+        for i in range(len(a) - k + 1):
+            once[a[i : i + k]] = -1 if a[i : i + k] in once else i
+        there: dict[str, int] = {}
+        for j in range(len(b) - k + 1):
+            there[b[j : j + k]] = -1 if b[j : j + k] in there else j
+        met = sorted((i, there[g], k) for g, i in once.items() if i >= 0 and there.get(g, -1) >= 0)
+        tails: list[int] = []
+        at: list[int] = []
+        back: list[int] = []
+        for n, (_, j, _) in enumerate(met):  # longest rising run of places in b
+            p = bisect_left(tails, j)
+            tails[p : p + 1], at[p : p + 1] = [j], [n]
+            back.append(at[p - 1] if p else -1)
+        run, n = [], at[-1] if at else -1
+        while n >= 0:
+            run.append(met[n])
+            n = back[n]
+        if len(run) > len(best):
+            best = run[::-1]
+    return best
+
+
+def _common(a: str, b: str) -> int:
+    """Characters two texts have in common, in order; long texts are parted at sequences that each holds once."""
+    if min(len(a), len(b)) == 0:
+        return 0
+    if max(len(a), len(b)) <= ALIGNED:
+        return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    found, i0, j0 = 0, 0, 0
+    for i, j, k in _anchors(a, b):
+        if i < i0 or j < j0:  # overlaps the one before
+            over = max(i0 - i, j0 - j)
+            if i0 - i == j0 - j and over < k:
+                found, i0, j0 = found + k - over, i + k, j + k
+            continue
+        if max(i - i0, j - j0) <= ALIGNED:
+            found += _common(a[i0:i], b[j0:j])
+        found, i0, j0 = found + k, i + k, j + k
+    return found + (_common(a[i0:], b[j0:]) if max(len(a) - i0, len(b) - j0) <= ALIGNED else 0)
+
+
 def _same(question: str, answer: str) -> bool:
     """Whether the answer is the question again, once or more, perhaps quoted, in other case or with small slips."""
-    if len(answer) > 4 * len(question) + 60 or 3 * len(answer) < len(question):
+    if 3 * len(answer) < len(question):
         return False
     q, a = _KEEP.sub("", question.lower()), _KEEP.sub("", _QUOTE.sub("", answer).lower())
-    if len(q) < 4 or not a or len(a) > 3.3 * len(q) + 4:
+    if len(q) < 4 or not a:
         return False
-    if a in (q, q + q, q + q + q):
-        return True
     times = max(1, round(len(a) / len(q)))
+    if not 0.85 * len(q) * times <= len(a) <= 1.15 * len(q) * times + 2:
+        return False
     q = q * times
-    if not 0.85 * len(q) <= len(a) <= 1.15 * len(q) + 2:
+    if a == q:
+        return True
+    # no more can be in common than the characters both have, wherever they stand
+    if 2 * sum((Counter(q) & Counter(a)).values()) < COPIED * (len(q) + len(a)):
         return False
-    ours, theirs = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (q, a))
-    if len(ours & theirs) < 0.6 * min(len(ours), len(theirs)):
-        return False  # slips enough to part that many triples would leave too little
-    return SequenceMatcher(None, q, a, autojunk=False).ratio() >= 0.88
+    return 2 * _common(q, a) >= COPIED * (len(q) + len(a))
 
 
 def _refuses(answer: str, lang: str) -> bool:
-    """Whether the answer, in a language (or '' if unknown), only declines."""
-    if len(answer) > REFUSAL_CHARS or lang == "zh" and 3 * len(answer) > REFUSAL_CHARS:
-        return False
+    """Whether the answer, in a language (or '' if unknown), only declines.
+
+    One sentence may stand before the one that declines; every later one must decline, too, or be one that refusals often add.
+    """
     refusal = _REFUSAL.get(lang) or _REFUSAL[""]
-    if not refusal.search(answer):
+    text, parts = answer.strip(), []
+    for m in _SENTENCE.finditer(text):  # the first two sentences tell most answers
+        parts = [p for p in _SENTENCE.split(text[: m.start()]) if _KEEP.sub("", p)]
+        if len(parts) == 2:
+            break
+    if not refusal.search(text[: m.start()] if len(parts) == 2 else text):
         return False
-    parts = [p for p in _SENTENCE.split(answer.strip()) if _KEEP.sub("", p)]
+    parts = [p for p in _SENTENCE.split(text) if _KEEP.sub("", p)]
     declines = [bool(refusal.search(p)) and not _BUT.search(p) for p in parts]
     first = next((i for i, x in enumerate(declines) if x), len(parts))
-    rest = all(d or _CLOSER.search(p) for d, p in zip(declines[first:], parts[first:], strict=True))
-    return len(parts) <= REFUSAL_SENTENCES and first < len(parts) and first <= 1 and rest
+    return first < len(parts) and first <= 1 and all(d or _CLOSER.search(p) for d, p in zip(declines[first:], parts[first:], strict=True))
 
 
 def _other_language(question: str, lang: str, margin: float) -> bool:
     """Whether an answer in a language, known by a margin, is in another one than the question, which did not ask for it."""
-    if not lang or margin < 2.5:
+    if not lang or margin < KNOWN:
         return False
     ql, qm = language(question)
     return bool(ql) and ql != lang and qm >= 0.9 and not (lang in _ASKS and _ASKS[lang].search(question))
 
 
+# Delimiters that come in pairs.
+_PAIRS = {")": "(", "）": "（", "]": "[", "】": "【", "}": "{", "」": "「", "』": "『", "》": "《", "”": "“"}
+_DELIMITER = re.compile(r"[:;]-?[()]|[(（\[【{「『《“)）\]】}」』》”]")
+
+
 def _open(answer: str) -> bool:
-    """Whether a code fence, list item or bracket is left open at the end."""
+    """Whether a code fence, list item, bracket or typographic quote is left open, wherever it begins.
+
+    Delimiters are matched by a stack; a closing one without an opening one, as in `1)`, counts for
+    nothing, and one that closes an outer pair closes what is open inside.
+    """
     prose = answer
     if "```" in answer:
         if answer.count("```") % 2:
@@ -131,8 +195,16 @@ def _open(answer: str) -> bool:
     last = prose.rstrip().rfind("\n")
     if last > 0 and _ITEM_ONLY.match(prose[last:]):
         return True
-    tail = prose.rstrip()[-300:]
-    return any(tail.rfind(a) > tail.rfind(b) and tail.count(a) > tail.count(b) for a, b in (("(", ")"), ("（", "）"), ("“", "”"), ("「", "」"), ("[", "]"))) and not re.search(r"[:;]-?\($", tail)
+    german = prose.count("„")
+    stack: list[str] = []
+    for mark in _DELIMITER.findall(prose):
+        if mark in _PAIRS:
+            if _PAIRS[mark] in stack:
+                while stack.pop() != _PAIRS[mark]:
+                    pass
+        elif len(mark) == 1 and not (mark == "“" and german):
+            stack.append(mark)
+    return bool(stack)
 
 
 def _rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +219,7 @@ def _rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if _same(question, answer):
                     found.append("copy")
                 lang, margin = language(answer)
-                if _refuses(answer, lang):
+                if _refuses(answer, lang if margin >= KNOWN else ""):
                     found.append("refusal")
                 if _other_language(question, lang, margin):
                     found.append("language")

@@ -57,6 +57,25 @@ def test_refusals(a, no):
     assert _refuses(a, language(a)[0]) is no
 
 
+def test_long_refusals():
+    assert _refuses("I can't help with that. I won't answer. I must decline. I am unable to assist.", "en")
+    assert _refuses("I can't help with that. " * 40, "en") and _refuses("这个问题我不能回答。" * 20, "zh")
+    assert _refuses("Advising a shop is not something I'm permitted to do.", "en") and not _refuses("I can't help with that. " + "Start with the titles. " * 3, "en")
+
+
+def test_copies_with_slips_of_any_length():
+    assert _same("abcd efghi", "abcd efgih") and not _same("abcd efghi", "xbcd yfgiz")
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(4000))
+    slipped = "".join("z" if i % 25 == 7 else c for i, c in enumerate(text))
+    assert _same(text, slipped) and not _same(text, "".join("z" if i % 4 == 1 else c for i, c in enumerate(text)))
+    assert not _same(text, "".join(rng.sample(text, len(text))))
+
+
+def test_open_brackets_far_from_the_end():
+    assert _open("see (page " + "and more words " * 60) and _open("[a (b] c (d") and not _open("[a (b] c") and not _open("1) one\n2) two") and _open("call f({") and not _open("„Hallo“ (ja)")
+
+
 def test_languages():
     german = "Jede Seite braucht eine klare Überschrift und einen ersten Absatz, der die Frage beantwortet."
     assert _other_language("How should we improve the page for the hotel?", *language(german))
