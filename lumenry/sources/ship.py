@@ -6,9 +6,11 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_sent: set[tuple[str, str]] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -27,3 +29,17 @@ def ship_package(spark: SparkSession) -> None:
             z.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Hands a file of the driver to the session's executors, once per application; the name under which shipped_file finds it."""
+    context = spark.sparkContext
+    if (context.applicationId, path) not in _sent:
+        context.addFile(path)
+        _sent.add((context.applicationId, path))
+    return Path(path).name
+
+
+def shipped_file(name: str) -> str:
+    """Where a shipped file lies on this machine."""
+    return SparkFiles.get(name)
