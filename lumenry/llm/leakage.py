@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +18,8 @@ from lumenry.sources.stage import staged
 
 #: Tokens of a fingerprinted sequence, and sequences of a window: a shared run of GRAM + WINDOW - 1 tokens is never missed.
 GRAM, WINDOW = 4, 2
+#: Texts of fewer tokens than this are looked for as a whole, since a window may drop their only sequence.
+SHORT = GRAM + WINDOW - 1
 #: Least passage, in words and in Chinese characters.
 WORDS, CHARS = 15, 25
 #: Tokens of a run that a passage is put together from, and of a change within it.
@@ -43,24 +45,39 @@ def _token_hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token)
 
 
+def _sequences(words: list[str], n: int) -> np.ndarray:
+    """The hash of every sequence of n tokens."""
+    h = np.fromiter(map(_token_hash, words), np.uint64, len(words))
+    count = max(0, len(words) - n + 1)
+    out = np.zeros(count, np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + count]
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def fingerprints(words: list[str]) -> np.ndarray:
     """Distinct winnowed hashes: of each window of sequences the least, as signed 64-bit numbers.
 
     A text shorter than a sequence has none; one shorter than a window has its least sequence.
     """
-    if len(words) < GRAM:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(_token_hash, words), np.uint64, len(words))
-    n = len(words) - GRAM + 1
-    grams = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-        grams ^= grams >> np.uint64(29)
-    if n > WINDOW:
+    grams = _sequences(words, GRAM)
+    if len(grams) > WINDOW:
         grams = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(axis=1)
     return np.unique(grams).view(np.int64)
 
 
+def whole_prints(words: list[str], lengths: Iterable[int]) -> np.ndarray:
+    """Distinct hashes of all sequences of the given lengths, apart from those of fingerprints."""
+    parts = [_sequences(words, n) ^ np.uint64(0xD6E8FEB86659FD93 * n % 2**64) for n in lengths]
+    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.empty(0, np.int64)
+
+
+def item_prints(words: list[str]) -> np.ndarray:
+    """Hashes of an evaluation text: its fingerprints, or the one of the whole text if that is shorter than SHORT."""
+    return fingerprints(words) if len(words) >= SHORT else whole_prints(words, (len(words),))
+
+
 def _runs(doc: list[str], item: list[str]) -> list[tuple[int, int, int]]:
     """Maximal common runs (place in doc, place in item, length) of at least RUN tokens."""
     at: dict[tuple[str, ...], list[int]] = defaultdict(list)
@@ -97,8 +114,11 @@ def best_passage(doc: list[str], item: list[str], weights: list[float], rare: li
     Runs are chained in the order of both texts; at most CHANGE item tokens may differ between two
     runs, while any text of the document may come between. A passage must have the least length (or
     be the item), SHARE of its tokens, WEIGHT of their weight, and RARE of its rare tokens, so that
-    phrases which many items share make no case; without a rare token it must be complete.
+    phrases which many items share make no case; without a rare token it must be complete. An item
+    of fewer than SHORT tokens must stand in the document as it is.
     """
+    if len(item) < SHORT:
+        return (len(item), 1.0) if any(doc[j : j + len(item)] == item for j in range(len(doc) - len(item) + 1)) else (0, 0.0)
     cjk = sum("一" <= t <= "鿿" for t in item)
     need = min(len(item), CHARS if 2 * cjk > len(item) else WORDS)
     runs = sorted(_runs(doc, item), key=lambda r: (r[1], r[0]))
@@ -173,12 +193,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
 
     Both sides are fingerprinted by winnowing, so that every shared run of GRAM + WINDOW - 1 tokens
     is met, and documents and items with a common fingerprint are held against each other word by
-    word, over their whole texts. If the evaluation side has at most SENT fingerprints they go to
+    word, over their whole texts; items shorter than that are met by the hash of all their tokens. If the evaluation side has at most SENT fingerprints they go to
     every task, so that the corpus is read once and not shuffled; otherwise both sides are joined
     by fingerprint, and the document texts by key. Null and empty texts hold nothing.
     """
     side = staged(evaluation_side(items, item_key, text))
-    prints = side.select("item", F.explode(F.pandas_udf(lambda s: s.map(lambda w: fingerprints(list(w)).tolist()), "array<long>")("words")).alias("print"))
+    prints = side.select("item", F.explode(F.pandas_udf(lambda s: s.map(lambda w: item_prints(list(w)).tolist()), "array<long>")("words")).alias("print"))
+    short = F.size("words")
+    lengths = sorted(r.n for r in side.where(short < SHORT).select(short.alias("n")).distinct().collect())  # at most SHORT - 1 numbers
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).cast("long").alias("doc"), F.col(text).alias("text"))
     sent = prints.limit(SENT + 1).toPandas()
     if len(sent) <= SENT:
@@ -190,7 +212,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
             for pdf in frames:
                 hits = []
                 for t in pdf["text"]:
-                    own = fingerprints(tokens(t))
+                    words = tokens(t)
+                    own = np.concatenate([fingerprints(words), whole_prints(words, lengths)])
                     low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
                     some = np.flatnonzero(high > low)
                     hits.append(np.unique(np.concatenate([of[low[i] : high[i]] for i in some])).tolist() if len(some) else [])
@@ -199,7 +222,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
 
         pairs = texts.mapInPandas(met, "doc long, text string, items array<long>").select("doc", "text", F.explode("items").alias("item"))
     else:
-        own = F.pandas_udf(lambda s: s.map(lambda t: fingerprints(tokens(t)).tolist()), "array<long>")
+        def prints_of(text: str) -> list[int]:
+            words = tokens(text)
+            return np.concatenate([fingerprints(words), whole_prints(words, lengths)]).tolist()
+
+        own = F.pandas_udf(lambda s: s.map(prints_of), "array<long>")
         met_ = texts.select("doc", F.explode(own("text")).alias("print")).join(prints, "print").select("doc", "item").distinct()
         pairs = met_.join(texts, "doc")
     return pairs.join(side, "item").select("doc", "text", "item", "words", "weights", "rare").mapInPandas(_verified, "doc long, item long, length int, share double")

@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenry.sources.ship import ship_file, shipped_file
+
 #: Public byte-level vocabulary the sizes are measured with.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how that vocabulary splits text before it merges bytes.
@@ -19,8 +21,6 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CLASSES = 32
 #: Kinds of containers packed at once.
 MOST_PACKS = 1000
-#: Characters given to the tokenizer at once; longer texts are cut at white space, where no token crosses.
-PIECE = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -33,20 +33,16 @@ def _encoding(path: str):
 
 
 def token_sizes(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, n_tokens) of each text; null and empty texts have 0 tokens. Whole texts are encoded."""
+    """(key, n_tokens) of each text; null and empty texts have 0 tokens. Whole texts are encoded at once.
+
+    The vocabulary file is read on the driver's machine and handed to the executors.
+    """
+    name = ship_file(docs.sparkSession, vocabulary)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = _encoding(shipped_file(name)).encode_ordinary
         for pdf in frames:
-            sizes = []
-            for t in pdf["text"]:
-                n, t = 0, t or ""
-                while len(t) > PIECE:
-                    cut = t.rfind(" ", 1, PIECE)
-                    cut = cut if cut > 0 else PIECE
-                    n, t = n + len(encode(t[:cut])), t[cut:]
-                sizes.append(n + len(encode(t)))
-            yield pd.DataFrame({"key": pdf["key"], "n_tokens": sizes})
+            yield pd.DataFrame({"key": pdf["key"], "n_tokens": [len(encode(t or "")) for t in pdf["text"]]})
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(measure, "key long, n_tokens long")
 
@@ -119,21 +115,21 @@ def harmonic_pack(items: DataFrame) -> DataFrame:
     items of at most C/CLASSES share bins by size. Room left in bins that are done goes, where it
     is enough, to items of the same or later classes before a bin is begun. Each task fills bins on
     its own, from rows spread by key in portions that AQE sizes, so that no class is brought
-    together and few bins per task stay unfinished. Order within a task is fixed, so that a
+    together and few bins per task stay unfinished; a bin belongs to one pack name and capacity. Order within a task is fixed, so that a
     repeated task gives the same bins. Sizes must lie in 1..capacity.
     """
     classed = items.withColumn("kind", F.least(F.lit(CLASSES), F.expr("cast(capacity div size as int)")))
-    spread = classed.hint("rebalance", "key").sortWithinPartitions("pack_name", "kind", "key", "piece")
+    spread = classed.hint("rebalance", "key").sortWithinPartitions("pack_name", "capacity", "kind", "key", "piece")
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        name, bins = None, _Bins()
+        last, bins = None, _Bins()
         for pdf in frames:
             ids = []
             for pack, capacity, kind, size in zip(pdf["pack_name"], pdf["capacity"], pdf["kind"], pdf["size"], strict=True):
-                if pack != name:
-                    name, bins = pack, _Bins()
-                ids.append(f"{pack}-{task}-{bins.place(kind, size, capacity)}")
+                if (pack, capacity) != last:
+                    last, bins = (pack, capacity), _Bins()
+                ids.append(f"{pack}-{capacity}-{task}-{bins.place(kind, size, capacity)}")
             yield pdf.assign(bin_id=ids)[["pack_name", "capacity", "key", "piece", "start", "size", "bin_id"]]
 
     return spread.mapInPandas(fill, "pack_name string, capacity long, key long, piece int, start long, size long, bin_id string")

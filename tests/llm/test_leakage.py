@@ -62,3 +62,15 @@ def test_shared_runs_are_never_missed():
         assert np.intersect1d(fingerprints(a), fingerprints(b)).size
     assert fingerprints(["a"] * (GRAM - 1)).size == 0 and fingerprints(["a"] * GRAM).size == 1
     assert tokens("Ａb&nbsp;<i>c</i>中文 d-e") == ["ab", "c", "中", "文", "d", "e"]
+
+
+def test_short_items_are_found(spark, monkeypatch):
+    rng = random.Random(7)
+    items = {i: " ".join(f"k{i}x{j}" for j in range(1 + i % 4)) for i in range(60)} | {99: "一二"}
+    docs = {i: " ".join(f"f{rng.randrange(50)}" for _ in range(rng.randrange(6))) + " " + t.upper() + " " + " ".join(f"f{rng.randrange(50)}" for _ in range(rng.randrange(6))) for i, t in items.items()}
+    docs |= {200: "k3x0 k3x1 and k3x2 k3x3", 201: "一 三 二"}
+    d, i = frames(spark, items, docs)
+    want = {(k, k) for k in items} | {(d, k) for d, t in docs.items() for k, it in items.items() if f" {it} " in f" {t.lower()} "} | {(200, k) for k in items if f" {items[k]} " in f" {docs[200]} "}
+    assert {(r.doc, r.item) for r in leaked_items(d, i).collect()} == want
+    monkeypatch.setattr(leakage, "SENT", 1)
+    assert {(r.doc, r.item) for r in leaked_items(d, i).collect()} == want
