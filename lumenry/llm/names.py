@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import permutations
 
 # Legal forms, words that say nothing, and trades, as they end company names.
 _LEGAL = frozenset("ltd limited aktiengesellschaft gesellschaft sociedad anonima societe anonyme gmbh inc incorporated llc llp lp sa sas sarl ag kg ohg ug bv nv co plc company corp corporation pty spa srl oy ab as".split())
@@ -167,33 +166,102 @@ def parse_slug(slug: str) -> tuple[str, str, str]:
     return " ".join(sorted(map(sound, core))), " ".join(of), "".join(w[0] for w in core)
 
 
-def keys(core: str) -> list[str]:
+def shortened(token: str) -> list[str]:
+    """The token with each of its characters deleted once (symmetric deletion)."""
+    return [token[:j] + token[j + 1 :] for j in range(len(token))]
+
+
+def keys(core: str, trade: str = "", founded: str = "") -> list[str]:
     """Neighbourhood keys of a core: names at most one edit of one token, one initial or one Chinese place prefix apart share one.
 
-    Every token is deleted at each place once, the others staying (symmetric deletion), and reduced
-    to its initial; the rest is sorted, so that order does not matter.
+    Every token of two or more letters is deleted at each place once, the others staying (symmetric
+    deletion), and reduced to its initial; the rest is sorted, so that order does not matter. With a
+    date each single token, shortened or not, is a key beside the date, so that names of one date may
+    differ in all tokens but one, and the initials of core and trade are one, too. Tokens written
+    together are a key in either order.
     """
     if _CJK.search(core):
-        out = {core} | {core[:i] + core[i + 1 :] for i in range(len(core))} if len(core) >= 3 else {core}
+        out = {core, *shortened(core)} if len(core) >= 3 else {core}
         return sorted({f"d:{x}" for x in out} | ({f"d:{core[-n:]}" for n in (3, 4)} if len(core) >= 5 else set()))
     tokens = core.split()
     out = {"d:" + core} if core else set()
     for i, t in enumerate(tokens):
         rest = tokens[:i] + tokens[i + 1 :]
-        if len(t) >= 5:
-            out |= {"d:" + " ".join(sorted([*rest, t[:j] + t[j + 1 :]])) for j in range(len(t))}
+        if len(t) >= 2:
+            out |= {"d:" + " ".join(sorted([*rest, x])) for x in shortened(t)}
         if rest:
             out.add("i:" + " ".join(sorted(rest)) + ":" + t[0])
+        if founded and len(t) >= 4:
+            out |= {f"f:{x}|{founded}" for x in (t, *shortened(t))}
         for full in _NICKNAMES.get(t, ()) if rest else ():
             out.add("d:" + " ".join(sorted([*rest, full])))
-            out.update("d:" + " ".join(sorted([*rest[:k], r[:j] + r[j + 1 :], *rest[k + 1 :], full])) for k, r in enumerate(rest) if len(r) >= 5 for j in range(len(r)))
+            out.update("d:" + " ".join(sorted([*rest[:k], x, *rest[k + 1 :], full])) for k, r in enumerate(rest) if len(r) >= 5 for x in shortened(r))
+    if founded and tokens and trade:
+        out.add("n:" + "".join(sorted(w[0] for w in (*tokens, *trade.split()))) + "|" + founded)
+    if tokens and len("".join(tokens)) >= 8:
+        out |= {"j:" + "".join(tokens), "j:" + "".join(reversed(tokens))}
     return sorted(out)
 
 
+def _joined(a: list[str], b: list[str]) -> bool:
+    """Whether two names are one slip apart if their tokens are written together, in rising or falling order."""
+    return any(near("".join(x), "".join(y)) for x in (a, a[::-1]) for y in (b, b[::-1]))
+
+
+def cheapest(cost: list[list[float]]) -> list[int]:
+    """The column of each row in an assignment of least cost (Hungarian method); needs as many columns as rows."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    u, v, of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        of[0], j0 = i, 0
+        least, way, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while of[j0]:
+            used[j0], i0, delta, j1 = True, of[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    now = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if now < least[j]:
+                        least[j], way[j] = now, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[of[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            of[j0], j0 = of[way[j0]], way[j0]
+    out = [-1] * n
+    for j in range(1, m + 1):
+        if of[j]:
+            out[of[j] - 1] = j - 1
+    return out
+
+
+#: Costs of a pair of tokens: a slip, an initial or short given name, an abbreviation, and no likeness at all.
+SLIP, INITIAL, CUT, NONE = 1.0, 1.1, 1.2, 100.0
+
+
+def token_cost(s: str, t: str) -> float:
+    """0 for equal tokens, else the cost of the slightest likeness between them."""
+    if s == t:
+        return 0.0
+    short, long = sorted((s, t), key=len)
+    if len(short) == 1:
+        return INITIAL if long[0] == short else NONE
+    if nickname(s, t) or nickname(t, s):
+        return INITIAL
+    if len(short) >= 3 and near(s, t):
+        return SLIP
+    return CUT if len(short) >= 3 and 2 * len(short) >= len(long) and abbreviates(short, long) else NONE
+
+
 def aligned(a: str, b: str) -> str:
-    """How two cores agree: `same`, `near` (one small slip in a token), `initial` (or a short given name), `part` (Chinese short form or place prefix), or ''.
+    """How two cores agree: `same`, `near` (one or two small slips), `close` (a slip in a token of three letters), `initial` (or a short given name or abbreviation), `part` (Chinese short form, or a token more), `prefixed` (Chinese place prefix), or ''.
 
-    Tokens are assigned to each other so that the fewest slips and abbreviations remain.
+    Tokens, however many, are assigned to each other at the least cost of slips, initials and abbreviations.
     """
     if a == b:
         return "same"
@@ -206,34 +274,21 @@ def aligned(a: str, b: str) -> str:
         if len(short) >= 3 and long.endswith(short):
             return "prefixed"
         return "part" if 2 <= len(short) < len(long) and abbreviates(short, long) else ""
-    x, y = a.split(), b.split()
+    x, y = sorted((a.split(), b.split()), key=len)
+    if not x:
+        return ""
+    cost = [[token_cost(s, t) for t in y] for s in x]
+    pairs = [(cost[i][j], min(len(x[i]), len(y[j]))) for i, j in enumerate(cheapest(cost))]
     if len(x) != len(y):
-        return "near" if near(a.replace(" ", ""), b.replace(" ", "")) and len(a) >= 8 else ""
-    if len(x) > 4:
-        return "near" if near(a, b) else ""
-    best = ""
-    for order in permutations(y):
-        slips = initials = 0
-        for s, t in zip(x, order, strict=True):
-            if s == t:
-                continue
-            short, long = sorted((s, t), key=len)
-            if len(short) == 1 and long[0] == short:
-                initials += 1
-            elif nickname(s, t) or nickname(t, s):
-                initials += 1
-            elif len(short) >= 4 and near(s, t):
-                slips += 1
-            else:
-                break
-        else:
-            if slips <= 1 and not initials:
-                return "near"
-            if slips <= 2 and not initials and len(x) > 1:
-                best = best or "near"
-            if initials == 1 and slips == 0 and len(x) > 1:
-                best = "initial"
-    return best
+        if len(a) >= 8 and _joined(x, y):
+            return "near"
+        return "part" if len(x) >= 2 and len(y) - len(x) == 1 and all(c <= SLIP for c, _ in pairs) else ""
+    if any(c >= NONE for c, _ in pairs):
+        return ""
+    slips, cuts = [n for c, n in pairs if c == SLIP], sum(c > SLIP for c, _ in pairs)
+    if not cuts:
+        return "close" if min(slips) < 4 else "near" if len(slips) <= (2 if len(x) > 1 else 1) else ""
+    return "initial" if cuts == 1 and not slips and len(x) > 1 else ""
 
 
 def fits_initials(initials: str, of: str) -> bool:

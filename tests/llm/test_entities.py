@@ -1,7 +1,10 @@
+import random
+from itertools import permutations
+
 import pytest
 
 from lumenry.llm.entities import firm_classes, variant_pairs
-from lumenry.llm.names import aligned, keys, near, parse_name, parse_slug, parse_url
+from lumenry.llm.names import aligned, cheapest, keys, near, parse_name, parse_slug, parse_url
 
 FIRM = "id string, name string, url string, headquarters string, founded_date string, core string, trade string"
 
@@ -57,3 +60,44 @@ def test_a_firm_with_most_rows(spark):
 
 def test_empty(spark):
     assert firm_classes(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b", "how"), [("anna garcia lopez maria ruiz", "a garcia lopez maria ruiz", "initial"), ("abel bodo carla dora emil", "abel boddo carla dora emill", "near"), ("nthrn torvex", "northern torvex", "initial"), ("kim torvex", "kin torvex", "close"), ("badlud kirddud", "baldud kirdud", "near"), ("anna lopez maria", "anna lopez", "part"), ("kirdudtorvex", "torvex kirdud", "near"), ("a b c d e f", "g h i j k l", "")])
+def test_tokens_of_any_number(a, b, how):
+    assert aligned(a, b) == how == aligned(b, a)
+
+
+def test_assignment_is_the_cheapest():
+    rng = random.Random(3)
+    for _ in range(60):
+        n, more = rng.randint(1, 5), rng.randint(0, 1)
+        cost = [[rng.choice([0.0, 1.0, 1.1, 100.0]) for _ in range(n + more)] for _ in range(n)]
+        best = min(sum(cost[i][j] for i, j in enumerate(order)) for order in permutations(range(len(cost[0])), n))
+        assert abs(sum(cost[i][j] for i, j in enumerate(cheapest(cost))) - best) < 1e-9
+
+
+def test_keys_meet_for_slips_in_two_tokens_of_one_date():
+    assert set(keys("baldud kirdud", "systems", "2001")) & set(keys("badud kirdd", "systems", "2001")) and not set(keys("baldud kirdud")) & set(keys("badud kirdd"))
+    assert set(keys("kim torvex")) & set(keys("kin torvex")) and "n:bks|2001" in keys("baldud kirdud", "systems", "2001")
+
+
+def test_many_spellings_on_one_domain(spark):
+    names = ["Kirdud Baldud Systems", "Kirrdud Baldud Systems", "Kirdud Balddud Systems", "Kirdud Baldudd Systems", "Kirdudd Baldud Systems", "Kiirdud Baldud Systems", "Kirdud Balduud Systems"]
+    rows = [(f"{i}", n, "https://kirdud-baldud.example/team", None, None) for i, n in enumerate(names)] + [("9", "KBS", "https://kirdud-baldud.example/about", None, None)]
+    assert len({r.firm for r in firm_classes(frame(spark, rows)).collect()}) == 1
+
+
+def test_initials_with_a_date(spark):
+    rows = [("1", "Kirdud Baldud Systems", None, None, "2001-01-01"), ("2", "K.B.S.", "https://kirdudbaldud.example", None, "2001-01-01"), ("3", "K.B.S.", None, None, "1999-01-01"), ("4", "KBT", None, None, "2001-01-01")]
+    assert {r.id: r.firm for r in firm_classes(frame(spark, rows)).collect()} == {"1": "1", "2": "1", "3": "3", "4": "4"}
+
+
+def test_a_name_of_many_firms_makes_few_pairs(spark, monkeypatch):
+    import lumenry.llm.entities as e
+
+    rows = [(f"{i:04d}", "Smith Software", f"https://smith{i}.example", f"Town {i}", f"{1000 + i}-01-01") for i in range(2000)]
+    seen, real = [], e.staged
+    monkeypatch.setattr(e, "staged", lambda df: seen.append(out := real(df)) or out)
+    classes = firm_classes(frame(spark, rows + [("9999", "Smith Software", None, None, None)]))
+    assert classes.select("firm").distinct().count() == 2001
+    assert all(df.count() <= 40_000 for df in seen)
