@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.names import aligned, fits_initials, fold, keys, near, parse_name, parse_slug, parse_url
+from lumenry.llm.names import aligned, first_letters, fits_initials, fold, keys, near, parse_name, parse_slug, parse_url
 from lumenry.operators.components import components
 from lumenry.sources.stage import staged
 
@@ -63,7 +63,7 @@ def _agreed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in pdf.itertuples(index=False):
             if r.founded and r.founded2 and r.founded != r.founded2 or r.place and r.place2 and r.place != r.place2:
                 continue
-            if r.trade and r.trade2 and r.trade != r.trade2 or not fits_initials(r.rest, r.trade2) or not fits_initials(r.rest2, r.trade):
+            if r.trade and r.trade2 and r.trade != r.trade2 or not fits_initials(r.core, r.rest, r.core2, r.trade2) or not fits_initials(r.core2, r.rest2, r.core, r.trade):
                 continue
             how = aligned(r.core, r.core2) if r.core and r.core2 else ""
             dated, placed = bool(r.founded) and r.founded == r.founded2, bool(r.place) and r.place == r.place2
@@ -84,7 +84,7 @@ def _agreed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     ok = False
                 if not how and dated and (not r.core or not r.core2):
                     one, other = (r.initials, (r.core2, r.trade2)) if not r.core else (r.initials2, (r.core, r.trade))
-                    ok = len(one) >= 3 and sorted(one) == sorted(w[0] for part in other for w in part.split())
+                    ok = len(one) >= 3 and sorted(one) == first_letters(*other)
             if ok:
                 rows.append((r.e, r.e2, weak))
         yield pd.DataFrame(rows, columns=["a", "b", "weak"])

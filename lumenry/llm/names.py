@@ -291,6 +291,11 @@ def aligned(a: str, b: str) -> str:
     return "initial" if cuts == 1 and not slips and len(x) > 1 else ""
 
 
-def fits_initials(initials: str, of: str) -> bool:
-    """Whether the letters left for the trade are its words' initials, or nothing is left."""
-    return not initials or not of or "".join(w[0] for w in of.split()) in (initials, initials[::-1]) or sorted(w[0] for w in of.split()) == sorted(initials)
+def first_letters(*names: str) -> list[str]:
+    """The first letters of all words, sorted."""
+    return sorted(w[0] for n in names for w in n.split())
+
+
+def fits_initials(core: str, rest: str, core2: str, trade2: str) -> bool:
+    """Whether a name of initials goes with another name: the letters left beside its core (`rest`) are those of the other's trade, or all its letters those of the other's core and trade; nothing left, or no trade, goes with all."""
+    return not rest or not trade2 or sorted(rest) == first_letters(trade2) or sorted([*first_letters(core), *rest]) == first_letters(core2, trade2)
