@@ -13,7 +13,7 @@ from lumenry.functions.text import clean_text
 from lumenry.operators.relational import top_per_group
 
 # Endings of addresses that are no pages.
-ASSETS = ("jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "css", "js", "pdf", "zip", "mp4", "mp3", "xml", "json", "txt")
+ASSETS = ("jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "pdf", "zip", "xml", "json", "txt", "css", "js")
 
 
 def candidate_links(anchors: DataFrame, limit: int = 12) -> DataFrame:

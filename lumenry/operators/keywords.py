@@ -48,10 +48,12 @@ def keyword_summary(keywords: DataFrame) -> DataFrame:
 def infer_profile(seeds: DataFrame, markers: DataFrame, default: str) -> DataFrame:
     """(pack, profile): the profile most of whose markers occur in a pack's seeds; the first in order among equals, a default without hits.
 
-    markers has (profile, at, marker) and is a bounded parameter table.
+    markers has (profile, at, marker), a parameter table of at most MOST_TEMPLATES rows.
     """
     text = seeds.groupBy("pack").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "seed"))), lambda x: x["seed"]), " ")).alias("text"))
-    rows = [(r.profile, r.at, r.marker) for r in markers.collect()]
+    rows = [(r.profile, r.at, r.marker) for r in markers.select("profile", "at", "marker").limit(MOST_TEMPLATES + 1).collect()]
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} markers")
     hits: dict[tuple[int, str], Column] = {}
     for profile, at, marker in sorted(rows, key=lambda r: r[1]):
         hits[(at, profile)] = hits.get((at, profile), F.lit(0)) + F.contains("text", F.lit(marker)).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,15 @@ def calendar(df: DataFrame, day: str, start: str, days: int, series: Sequence[st
     return grid.join(F.broadcast(counted), day, "left").select(day, *[F.coalesce(s, F.lit(0)).alias(s) for s in series])
 
 
+def local_time(ts: Column, zone: str, default: str) -> Column:
+    """A time without zone, read as UTC, on the clocks of a zone; the default serves for a zone that is not known."""
+    try:
+        ZoneInfo(zone)
+    except (ZoneInfoNotFoundError, ValueError):
+        zone = default
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, most: int = 100) -> DataFrame:
     """One page of an ordered list; number and size are brought into range, and the order must end in a unique key."""
     number, size = max(1, number), min(max(1, size), most)

@@ -50,7 +50,7 @@ def page_visible_text(spark, d):
 def report_overall(spark, d):
     """The weighted score of each report from the scores of its parts; a missing part counts 0."""
     part = lambda c: F.coalesce(scores.clamp_percent(F.get_json_object(c, "$.score")), F.lit(0))
-    rows = distinct_rows(spark, d, "diagnostic_reports").where("schema_analysis is not null and content_analysis is not null")
+    rows = distinct_rows(spark, d, "diagnostic_reports", "schema_analysis", "content_analysis").where("schema_analysis is not null and content_analysis is not null")
     return rows.select("id", scores.weighted_score({"schema": part("schema_analysis"), "content": part("content_analysis")}, {"schema": 3, "content": 1}, DEFAULT_WEIGHTS).alias("overall"))
 
 
@@ -61,16 +61,16 @@ def text_measures(spark, d):
 
 
 def search_terms(spark, d):
-    rows = companies(spark, d).where("description is not null")
+    rows = companies(spark, d, "description").where("description is not null")
     return rows.select("id", F.array_join(F.array_sort(text.query_terms(F.col("description"))), "|").alias("terms"))
 
 
 def slugs(spark, d):
-    return companies(spark, d).select("id", text.slug(F.col("name")).alias("slug"))
+    return companies(spark, d, "name").select("id", text.slug(F.col("name")).alias("slug"))
 
 
 def normalized_urls(spark, d):
-    rows = companies(spark, d).withColumn("u", urls.normalize_url(F.col("url")))
+    rows = companies(spark, d, "url").withColumn("u", urls.normalize_url(F.col("url")))
     return rows.select("id", F.col("u").alias("url"), urls.path_depth(urls.url_path(F.col("u"))).alias("depth"), urls.page_role(F.coalesce("u", F.lit("")), F.lit("")).alias("role"))
 
 
@@ -79,12 +79,12 @@ def firm_titles(spark, d):
 
 
 def profile_labels(spark, d):
-    rows = companies(spark, d)
+    rows = companies(spark, d, "headquarters", "short_description", "description", "founded_date")
     return rows.select("id", text.without_placeholder(F.col("headquarters")).alias("place"), text.pick_first(F.col("short_description"), F.col("description"), limit=40).alias("teaser"), F.date_format("founded_date", "yyyy/MM").alias("founded"))
 
 
 def stable_scores(spark, d):
-    tags = companies(spark, d).select(F.explode(R.string_list(F.col("tags"))).alias("tag")).distinct()
+    tags = companies(spark, d, "tags").select(F.explode(R.string_list(F.col("tags"))).alias("tag")).distinct()
     return tags.select("tag", scores.stable_score(F.col("tag"), F.lit("semantic"), F.col("tag"), 62, 28).alias("score"))
 
 
@@ -93,7 +93,7 @@ def keyword_packs(spark, d):
 
 
 def _seeds(spark, d):
-    tags = companies(spark, d).select(F.coalesce("category", F.lit("")).alias("pack"), F.explode(R.string_list(F.col("tags"))).alias("seed")).distinct()
+    tags = companies(spark, d, "category", "tags").select(F.coalesce("category", F.lit("")).alias("pack"), F.explode(R.string_list(F.col("tags"))).alias("seed")).distinct()
     return tags.withColumn("pos", F.row_number().over(Window.partitionBy("pack").orderBy("seed"))).where("pos <= 8")
 
 
@@ -121,7 +121,7 @@ def lexical_recommend(spark, d):
     """The five organisations that match each search text best; 1 + 3 fields of scores, ties by score, votes and id."""
     asked = F.array(*[F.struct(F.lit(q).alias("query"), text.query_terms(F.lit(q)).alias("terms")) for q in SEARCHES])
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    rows = companies(spark, d).where("publish_status = 'published'").withColumn("tag_list", F.transform(R.string_list(F.col("tags")), F.lower))
+    rows = companies(spark, d, "publish_status", "name", "category", "tags", "short_description", "description", "funding_stage", "is_geo_certified", "geo_score", "upvotes").where("publish_status = 'published'").withColumn("tag_list", F.transform(R.string_list(F.col("tags")), F.lower))
     blob = F.concat_ws(" ", low("name"), low("category"), F.array_join("tag_list", " "), low("short_description"), low("description"), low("funding_stage"))
     asked_rows = rows.withColumn("blob", blob).select("id", "name", "category", "tag_list", "blob", "is_geo_certified", "geo_score", "upvotes", F.inline(asked))
     scored = asked_rows.withColumn("score", F.round(scores.lexical_score(F.col("terms"), low("name"), low("category"), F.col("tag_list"), F.col("blob"), F.col("is_geo_certified"), F.col("geo_score")), 6))
@@ -152,30 +152,30 @@ def backfilled_neighbours(spark, d):
 def structured_data(spark, d):
     """JSON-LD of each organisation, safe inside a script element."""
     node = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Organization").alias("@type"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("url", F.lit("")).alias("url"))
-    return companies(spark, d).select("id", writers.script_safe(F.to_json(node)).alias("jsonld"))
+    return companies(spark, d, "name", "url").select("id", writers.script_safe(F.to_json(node)).alias("jsonld"))
 
 
 def csv_rows(spark, d):
-    rows = companies(spark, d)
+    rows = companies(spark, d, "name", "category", "upvotes")
     return rows.select("id", writers.csv_line([F.col("name"), F.col("category"), F.col("upvotes")]).alias("line"))
 
 
 def report_markdown(spark, d):
-    rows = distinct_rows(spark, d, "diagnostic_reports").where("recommendations is not null")
+    rows = distinct_rows(spark, d, "diagnostic_reports", "url", "status", "recommendations").where("recommendations is not null")
     strengths = F.from_json(F.get_json_object("recommendations", "$.gaps"), "array<string>")
     return rows.select("id", F.md5(writers.markdown_report(F.col("url"), {"status": F.col("status")}, {"Gaps": F.filter(strengths, lambda x: x.isNotNull())})).alias("digest"))
 
 
 def outermost_json(spark, d):
     """The outermost JSON object in a message, if it is valid."""
-    rows = distinct_rows(spark, d, "messages").select("id", F.nullif(F.regexp_extract("content", r"(?s)(\{.*\})", 1), F.lit("")).alias("j")).where("j is not null")
+    rows = distinct_rows(spark, d, "messages", "content").select("id", F.nullif(F.regexp_extract("content", r"(?s)(\{.*\})", 1), F.lit("")).alias("j")).where("j is not null")
     return rows.select("id", F.try_parse_json("j").isNotNull().alias("valid"))
 
 
 def geo_dimensions(spark, d):
     """The four scores of each organisation as whole numbers in 0..100, with the strongest and weakest."""
     dims = ("schema", "content", "meta", "citation")
-    rows = companies(spark, d).where(F.try_parse_json("geo_details").isNotNull()).select("id", *[scores.clamp_percent(F.get_json_object("geo_details", f"$.{k}")).alias(k) for k in dims])
+    rows = companies(spark, d, "geo_details").where(F.try_parse_json("geo_details").isNotNull()).select("id", *[scores.clamp_percent(F.get_json_object("geo_details", f"$.{k}")).alias(k) for k in dims])
     each = F.filter(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("v"), F.lit(-i).alias("o"), F.lit(k).alias("k"))) for i, k in enumerate(dims)]), lambda x: x.isNotNull())
     low = F.filter(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("v"), F.lit(i).alias("o"), F.lit(k).alias("k"))) for i, k in enumerate(dims)]), lambda x: x.isNotNull())
     return rows.select("id", *dims, F.array_max(each)["k"].alias("strongest"), F.array_min(low)["k"].alias("weakest"))
@@ -196,7 +196,7 @@ def order_components(spark, d):
 
 def user_groups(spark, d):
     """Users of reports about the same organisation, as connected components."""
-    rows = distinct_rows(spark, d, "diagnostic_reports").select(F.concat(F.lit("u:"), F.col("user_id")).alias("a"), F.concat(F.lit("c:"), ref_key(F.col("company_id"))).alias("b"))
+    rows = distinct_rows(spark, d, "diagnostic_reports", "user_id", "company_id").select(F.concat(F.lit("u:"), F.col("user_id")).alias("a"), F.concat(F.lit("c:"), ref_key(F.col("company_id"))).alias("b"))
     return components(rows).where("node like 'u:%'").select(F.expr("substring(node, 3)").alias("user_id"), "component")
 
 
@@ -210,7 +210,7 @@ PAGE_WEIGHTS = {
 def _anchors(spark, d):
     """Links between an organisation's home page and the pages its details name."""
     named = F.from_json(F.get_json_object("geo_details", "$.pages"), "array<struct<url:string,title:string>>")
-    return companies(spark, d).where("geo_details is not null").select(F.col("url").alias("base_url"), F.posexplode(named).alias("pos", "p")).select("base_url", "pos", "p.url", "p.title")
+    return companies(spark, d, "geo_details", "url").where("geo_details is not null").select(F.col("url").alias("base_url"), F.posexplode(named).alias("pos", "p")).select("base_url", "pos", "p.url", "p.title")
 
 
 def site_links(spark, d):

@@ -14,20 +14,22 @@ def csv_line(columns: Sequence[Column]) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files, each with a byte-order mark and an unquoted header, and every value quoted."""
-    names = list(df.columns)
+    """CSV in part files: the first holds the byte-order mark and the unquoted header, the others rows with every value quoted, so that the files in their order are one CSV."""
+    head = df.sparkSession.createDataFrame([("\ufeff" + ",".join(df.columns),)], "value string").coalesce(1)
+    head.union(df.select(csv_line([F.col(c) for c in df.columns]).alias("value"))).write.text(path)
 
-    def lines(frames):
-        import pandas as pd
 
-        first = True
-        for pdf in frames:
-            out = pdf["line"].tolist()
-            if first and out:
-                out[0], first = "﻿" + ",".join(names) + "\n" + out[0], False
-            yield pd.DataFrame({"value": out})
+def write_verified(df: DataFrame, path: str) -> int:
+    """Writes Parquet, reads it back and compares number and hash of the rows; the number, or RuntimeError if they differ."""
 
-    df.select(csv_line([F.col(c) for c in names]).alias("line")).mapInPandas(lines, "value string").write.text(path)
+    def digest(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*rows.columns)), F.sum(F.xxhash64(*rows.columns) % 1_000_003)).first())
+
+    df.write.parquet(path)
+    meant, there = digest(df), digest(df.sparkSession.read.schema(df.schema).parquet(path))
+    if meant != there:
+        raise RuntimeError(f"{path}: {there} instead of {meant}")
+    return there[0]
 
 
 def markdown_report(title: Column, scores: dict[str, Column], sections: dict[str, Column]) -> Column:
@@ -51,16 +53,22 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def manifest_totals(files: DataFrame) -> DataFrame:
+    """Number and size of the files of a manifest."""
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+
+
 # Kinds of nodes and edges an organisation graph may hold.
 LABELS = ("Person", "Product", "Technology", "Company")
-EDGES = ("FOUNDED", "USES", "PRODUCES", "WORKS_AT")
+EDGES = ("FOUNDED_BY", "HAS_PRODUCT", "USES_TECH", "COMPETES_WITH")
 
 
 def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(company_id, problem, value): nodes of unknown label, blank or repeated name, edges of unknown type or with blank ends."""
     bad = F.when(~F.coalesce(F.col("type").isin(*LABELS), F.lit(False)), "label").when(F.trim(F.coalesce("name", F.lit(""))) == "", "blank name")
     a = nodes.select("company_id", bad.alias("problem"), F.coalesce("name", F.lit("")).alias("value")).where("problem is not null")
-    b = nodes.groupBy("company_id", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("company_id", F.lit("repeated name").alias("problem"), F.coalesce("name", F.lit("")).alias("value"))
+    named = nodes.select("company_id", F.trim(F.coalesce("name", F.lit(""))).alias("name")).where("name <> ''")
+    b = named.groupBy("company_id", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("company_id", F.lit("repeated name").alias("problem"), F.col("name").alias("value"))
     kind = F.when(~F.coalesce(F.col("type").isin(*EDGES), F.lit(False)), "edge").when((F.trim(F.coalesce("src", F.lit(""))) == "") | (F.trim(F.coalesce("dst", F.lit(""))) == ""), "blank end")
     c = edges.select("company_id", kind.alias("problem"), F.coalesce("type", F.lit("")).alias("value")).where("problem is not null")
     return a.unionByName(b).unionByName(c)
