@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html.parser import HTMLParser
-from urllib.parse import urlparse
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenry.functions.text import reading_minutes_round
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style", "template"))
 _CHROME = frozenset("script style nav footer noscript svg".split())
@@ -91,116 +94,125 @@ def _nodes(value: object) -> list[dict]:
     return out
 
 
-def _half_even(x: float) -> int:
-    return round(x)
-
-
-def schema_signals(page: _Page) -> dict:
-    blocks = ["".join(own) for tag, attrs, own in page.found if tag == "script" and attrs.get("type", "").lower() == "application/ld+json"]
-    types: list[str] = []
-    for block in blocks:
+def _declared(page: _Page) -> dict:
+    """Raw facts of structured data: the types of all nodes in order, and the number of blocks."""
+    types, blocks = [], 0
+    for tag, attrs, own in page.found:
+        if (tag, attrs.get("type", "").lower()) != ("script", "application/ld+json"):
+            continue
+        blocks += 1
         try:
-            nodes = _nodes(json.loads(block))
+            nodes = _nodes(json.loads("".join(own)))
         except (ValueError, RecursionError):
-            continue
-        for node in nodes:
-            named = node.get("@type")
-            types += [t.strip() for t in (named if isinstance(named, list) else [named]) if isinstance(t, str) and t.strip()]
-    unique = list(dict.fromkeys(types))
-    coverage = _half_even(100 * len(set(unique) & set(RECOMMENDED)) / len(RECOMMENDED))
-    return {"found_types": unique, "missing_recommended": [t for t in RECOMMENDED if t not in unique], "schema_count": len(blocks), "coverage_ratio": coverage, "schema_score": min(100, max(16 * len(unique), coverage)), "has_faq": "FAQPage" in unique, "has_org": bool({"Organization", "WebSite"} & set(unique))}
-
-
-def meta_signals(page: _Page) -> dict:
-    def first(tag: str, **wanted: str) -> dict[str, str] | None:
-        return next((a for t, a, _ in page.found if t == tag and all(a.get(k, "").lower() == v for k, v in wanted.items())), None)
-
-    def content(attrs: dict[str, str] | None, of: str = "content") -> bool:
-        return bool(attrs and attrs.get(of, "").strip())
-
-    title = next((_joined(own) for tag, _, own in page.found if tag == "title"), "")
-    described = first("meta", name="description")
-    rel = lambda word: next((a for t, a, _ in page.found if t == "link" and any(word(r) for r in a.get("rel", "").lower().split())), None)
-    flags = {
-        "title": bool(title),
-        "html_lang": content(first("html"), "lang"),
-        "meta_description": content(described),
-        "canonical": content(rel(lambda r: r == "canonical"), "href"),
-        "viewport": content(first("meta", name="viewport")),
-        "robots": content(first("meta", name="robots")),
-        "favicon": content(rel(lambda r: "icon" in r), "href"),
-        **{f"og_{k}": content(first("meta", property=f"og:{k}")) for k in ("title", "description", "image", "type", "locale")},
-        "twitter_card": content(first("meta", name="twitter:card")),
-    }
-    return {"meta_missing": [k for k in META_FLAGS if not flags[k]], "title_length": len(title), "description_length": len((described or {}).get("content", "")), "meta_score": _half_even(100 * sum(flags.values()) / len(META_FLAGS)), "preview_score": _half_even(sum(100 * flags[k] for k in PREVIEW_FLAGS) / len(PREVIEW_FLAGS))}
-
-
-def content_signals(page: _Page) -> dict:
-    tags = [t for t, _, _ in page.found]
-    count = tags.count
-    body = _joined([d for d, _ in page.texts])
-    characters = len("".join(body.split()))
-    first = next((_joined(own) for tag, _, own in page.found if tag == "p"), "")
-    faq = sum(bool(_QUESTION.search(_joined(own))) for tag, _, own in page.found if tag in ("h1", "h2", "h3", "h4"))
-    images = [a for t, a, _ in page.found if t == "img"]
-    with_alt = sum(bool(a.get("alt", "").strip()) for a in images)
-    alt = _half_even(100 * with_alt / len(images)) if images else 100
-    lists = count("ul") + count("ol")
-    score = 20 * (count("h1") == 1) + 20 * (count("h2") >= 2) + 20 * (len(first) > 80) + 20 * (characters > 800) + 10 * (alt >= 60) + 10 * (faq >= 1 or lists >= 2)
+            nodes = []
+        types += [named.strip() for node in nodes for named in np.ravel(np.array(node.get("@type"), dtype=object)) if isinstance(named, str) and named.strip()]
+    return {"types": types, "blocks": blocks}
+
+
+def _present(page: _Page) -> dict:
+    """Raw facts of the head: which of META_FLAGS the page has, and lengths of its title and description."""
+    have: dict[str, str] = {}
+    title, described = None, None
+    names = {"description": "meta_description", "viewport": "viewport", "robots": "robots", "twitter:card": "twitter_card"} | {f"og:{k}": f"og_{k}" for k in ("title", "description", "image", "type", "locale")}
+    for tag, attrs, own in page.found:
+        if tag == "title" and title is None:
+            title = _joined(own)
+            have["title"] = title
+        elif tag == "html":
+            have.setdefault("html_lang", attrs.get("lang", ""))
+        elif tag == "meta":
+            for kind in ("name", "property"):
+                flag = names.get(attrs.get(kind, "").lower())
+                if flag and flag.startswith("og_") == (kind == "property") and flag not in have:
+                    have[flag] = attrs.get("content", "")
+                    described = have[flag] if flag == "meta_description" else described
+        elif tag == "link":
+            for word in attrs.get("rel", "").lower().split():
+                if word == "canonical" or "icon" in word:
+                    have.setdefault("canonical" if word == "canonical" else "favicon", attrs.get("href", ""))
+    return {"present": [k for k in META_FLAGS if have.get(k, "").strip()], "title_length": len(title or ""), "description_length": len(described or "")}
+
+
+def _body(page: _Page) -> dict:
+    """Raw facts of the body: how often each element occurs, and lengths and texts that scores need."""
+    count = Counter(tag for tag, _, _ in page.found)
+    text = _joined([d for d, _ in page.texts])
+    images = [bool(a.get("alt", "").strip()) for tag, a, _ in page.found if tag == "img"]
+    said = [(tag, _joined(own)) for tag, _, own in page.found if tag in ("p", "h1", "h2", "h3", "h4", "a", "button")]
     return {
-        **{f"{t}_count": count(t) for t in ("h1", "h2", "h3")}, "paragraph_count": count("p"), "list_count": lists, "table_count": count("table"), "image_count": len(images), "image_with_alt_count": with_alt, "image_alt_ratio": alt,
-        "word_count": len(body.split()), "character_count": characters, "reading_minutes": max(1, _half_even(max(characters, 1) / 450)), "faq_sections": faq,
-        "cta_count": sum(any(w in _joined(own).lower() for w in CALLS) for tag, _, own in page.found if tag in ("a", "button")), "content_score": score,
+        **{f"{t}_count": count[t] for t in ("h1", "h2", "h3")}, "paragraph_count": count["p"], "list_count": count["ul"] + count["ol"], "table_count": count["table"], "image_count": len(images), "image_with_alt_count": sum(images),
+        "word_count": len(text.split()), "character_count": len("".join(text.split())), "first_paragraph": next((len(t) for tag, t in said if tag == "p"), 0),
+        "faq_sections": sum(bool(_QUESTION.search(t)) for tag, t in said if tag[0] == "h"), "cta_count": sum(any(w in t.lower() for w in CALLS) for tag, t in said if tag in ("a", "button")),
+        "hrefs": [a["href"] for tag, a, _ in page.found if tag == "a" and "href" in a],
     }
 
 
-def citation_signals(page: _Page, base: str) -> dict:
-    inner = outer = 0
-    authority, social = [], []
-    for tag, attrs, _ in page.found:
-        if tag != "a" or "href" not in attrs:
-            continue
-        try:
-            parsed = urlparse(attrs["href"])
-        except ValueError:
-            continue
-        host = parsed.netloc.lower()
-        if parsed.scheme not in ("http", "https") or not host:
-            continue
-        if base and base in host:
-            inner += 1
-            continue
-        outer += 1
-        authority += [attrs["href"]] * any(a in host for a in AUTHORITIES)
-        social += [attrs["href"]] * any(s in host for s in SOCIAL)
-    score = (40 if outer >= 3 else 20 if outer else 0) + (40 if len(authority) >= 2 else 20 if authority else 0) + (20 if outer >= 10 or inner >= 12 else 0)
-    return {"external_links": outer, "internal_links": inner, "authority_link_count": len(authority), "social_link_count": len(social), "authority_links": authority[:5], "social_links": social[:5], "citation_score": min(100, score)}
+FACTS = (
+    "types array<string>, blocks int, present array<string>, title_length int, description_length int, h1_count int, h2_count int, h3_count int, paragraph_count int, list_count int, table_count int, image_count int, image_with_alt_count int, "
+    "word_count int, character_count int, first_paragraph int, faq_sections int, cta_count int, hrefs array<string>"
+)
 
 
-SIGNALS = (
-    "found_types array<string>, missing_recommended array<string>, schema_count int, coverage_ratio int, schema_score int, has_faq boolean, has_org boolean, meta_missing array<string>, title_length int, description_length int, meta_score int, preview_score int, "
-    "h1_count int, h2_count int, h3_count int, paragraph_count int, list_count int, table_count int, image_count int, image_with_alt_count int, image_alt_ratio int, word_count int, character_count int, reading_minutes int, faq_sections int, cta_count int, content_score int, "
-    "external_links int, internal_links int, authority_link_count int, social_link_count int, authority_links array<string>, social_links array<string>, citation_score int"
-)
+def page_facts(html: Column) -> Column:
+    """What a page holds, as one struct (FACTS), from one tolerant parse; null and empty pages give the facts of an empty page."""
+
+    def run(pages: pd.Series) -> pd.DataFrame:
+        parsed = map(_parse, pages)
+        return pd.DataFrame([_declared(p) | _present(p) | _body(p) for p in parsed], columns=[x.split()[0] for x in FACTS.split(", ")])
+
+    run.__annotations__ = {"pages": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, FACTS)(html)
+
+
+def _percent(part: Column, whole: Column | int) -> Column:
+    """A whole number of percents, rounded half to even."""
+    return F.bround(100.0 * part / whole, 0).cast("int")
+
+
+def _steps(value: Column, *steps: tuple[int, int]) -> Column:
+    """The points of the highest step that a value reaches, 0 below all."""
+    out = F.lit(0)
+    for least, points in sorted(steps):
+        out = F.when(value >= least, points).otherwise(out)
+    return out
 
 
 def page_signals(url: Column, html: Column) -> Column:
     """All signals of a page as one struct: structured data, metadata, content, citations, each with its score in 0..100.
 
-    Every page is parsed once. Null and empty pages give the signals of an empty page; markup is
-    taken as tolerantly as it comes, a paragraph ending where another block begins. Only absolute
-    links count, as internal if the page's host is part of theirs.
+    Every page is parsed once in Python for its facts; scores are JVM expressions over them. Null
+    and empty pages give the signals of an empty page; markup is taken as tolerantly as it comes, a
+    paragraph ending where another block begins. Only absolute links count, as internal if the
+    page's host is part of theirs.
     """
-
-    def run(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for u, h in zip(urls, pages, strict=True):
-            page = _parse(h)
-            rows.append(schema_signals(page) | meta_signals(page) | content_signals(page) | citation_signals(page, urlparse(u or "").netloc.lower()))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in SIGNALS.split(", ")])
-
-    run.__annotations__ = {"urls": pd.Series, "pages": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, SIGNALS)(url, html)
+    f = page_facts(html)
+    words = lambda values: F.array(*map(F.lit, values))
+    types = F.array_distinct(f["types"])
+    coverage = _percent(F.size(F.array_intersect(types, words(RECOMMENDED))), len(RECOMMENDED))
+    alt = F.when(f["image_count"] > 0, _percent(f["image_with_alt_count"], F.greatest(f["image_count"], F.lit(1)))).otherwise(100)
+    points = lambda ok, n: F.when(ok, n).otherwise(0)
+    content = (
+        points(f["h1_count"] == 1, 20) + points(f["h2_count"] >= 2, 20) + points(f["first_paragraph"] > 80, 20) + points(f["character_count"] > 800, 20)
+        + points(alt >= 60, 10) + points((f["faq_sections"] >= 1) | (f["list_count"] >= 2), 10)
+    )
+    host = lambda link: F.lower(F.regexp_extract(link, r"^(?i:https?)://([^/?#]+)", 1))
+    base = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    absolute = F.filter(f["hrefs"], lambda x: host(x) != "")
+    own = lambda x: (base != "") & F.contains(host(x), base)
+    outer = F.filter(absolute, lambda x: ~own(x))
+    of = lambda sites: F.filter(outer, lambda x: F.exists(words(sites), lambda s: F.contains(host(x), s)))
+    n_outer, n_inner, authority, social = F.size(outer), F.size(absolute) - F.size(outer), of(AUTHORITIES), of(SOCIAL)
+    citation = F.least(F.lit(100), _steps(n_outer, (1, 20), (3, 40)) + _steps(F.size(authority), (1, 20), (2, 40)) + points((n_outer >= 10) | (n_inner >= 12), 20))
+    preview = F.size(F.array_intersect(f["present"], words(PREVIEW_FLAGS)))
+    signals = {
+        "found_types": types, "missing_recommended": F.array_except(words(RECOMMENDED), types), "schema_count": f["blocks"], "coverage_ratio": coverage, "schema_score": F.least(F.lit(100), F.greatest(16 * F.size(types), coverage)),
+        "has_faq": F.array_contains(types, "FAQPage"), "has_org": F.arrays_overlap(types, words(("Organization", "WebSite"))),
+        "meta_missing": F.array_except(words(META_FLAGS), f["present"]), "title_length": f["title_length"], "description_length": f["description_length"], "meta_score": _percent(F.size(f["present"]), len(META_FLAGS)), "preview_score": _percent(preview, len(PREVIEW_FLAGS)),
+        **{c: f[c] for c in ("h1_count", "h2_count", "h3_count", "paragraph_count", "list_count", "table_count", "image_count", "image_with_alt_count")}, "image_alt_ratio": alt,
+        "word_count": f["word_count"], "character_count": f["character_count"], "reading_minutes": reading_minutes_round(f["character_count"]), "faq_sections": f["faq_sections"], "cta_count": f["cta_count"], "first_paragraph": f["first_paragraph"], "content_score": content,
+        "external_links": n_outer, "internal_links": n_inner, "authority_link_count": F.size(authority), "social_link_count": F.size(social), "authority_links": F.slice(authority, 1, 5), "social_links": F.slice(social, 1, 5), "citation_score": citation,
+    }
+    return F.struct(*[c.alias(name) for name, c in signals.items()])
 
 
 def visible_text(html: Column, limit: int | None = None) -> Column:
@@ -229,9 +241,13 @@ def profile_from_page(html: Column) -> Column:
     return F.pandas_udf(run, "title string, description string, tags array<string>")(html)
 
 
-_DROPPED = frozenset("script style iframe object embed form input button textarea select link meta base".split())
-_KEPT = {"a": ("href", "title", "rel", "target"), "img": ("src", "alt", "title"), "th": ("align",), "td": ("align",), "code": ("class",)} | {t: () for t in "p br hr h1 h2 h3 h4 h5 h6 ul ol li strong em b i u s del blockquote pre table thead tbody tr span div sup sub".split()}
-_SCHEMES = frozenset(("", "http", "https", "mailto", "tel"))
+# Elements that are removed with all they hold, elements and attributes that are kept, and kinds of images that may stand in an address.
+_DROPPED = frozenset("script style iframe object embed link meta base form input button textarea select".split())
+_ALLOWED = frozenset("a abbr blockquote br code dd del details div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr img ins kbd li ol p pre s span strong sub summary sup table tbody td th thead tr ul".split())
+_ANYWHERE = frozenset("class id title aria-label aria-hidden".split())
+_KEPT = {"a": frozenset("href target rel".split()), "img": frozenset("src alt width height loading".split()), "td": frozenset("colspan rowspan align".split()), "th": frozenset("colspan rowspan align scope".split())}
+_IMAGES = "png jpeg jpg gif webp svg+xml x-icon vnd.microsoft.icon".split()
+_INLINE = re.compile("data:image/(?:" + "|".join(map(re.escape, _IMAGES)) + ");")
 
 
 class _Cleaner(HTMLParser):
@@ -244,10 +260,10 @@ class _Cleaner(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _DROPPED:
             self.dropped += tag not in _VOID
-        elif not self.dropped and tag in _KEPT:
-            kept = {k: v or "" for k, v in attrs if k in _KEPT[tag] and (k not in ("href", "src") or _safe(v or "", k))}
-            if tag == "a":
-                kept["rel"] = "noopener noreferrer nofollow"
+        elif not self.dropped and tag in _ALLOWED:
+            kept = {k: v or "" for k, v in attrs if k in _ANYWHERE | _KEPT.get(tag, frozenset()) and (k not in ("href", "src") or _safe(v or "", k))}
+            if tag == "a" and kept.get("href"):
+                kept["rel"] = "noopener noreferrer"
             self.out.append("<" + tag + "".join(f' {k}="{_escaped(v)}"' for k, v in kept.items()) + ">")
             if tag not in _VOID:
                 self.open.append(tag)
@@ -272,9 +288,14 @@ def _escaped(text: str) -> str:
 
 
 def _safe(value: str, attribute: str) -> bool:
-    bare = re.sub(r"[\s\x00-\x1f]", "", value).lower()
-    scheme = re.match(r"([a-z][a-z0-9+.\-]*):", bare)
-    return (scheme.group(1) if scheme else "") in _SCHEMES or attribute == "src" and bool(re.match(r"data:image/(?:png|gif|jpe?g|webp);base64,", bare))
+    """Whether an address may stay: a relative one, one for the web, mail or telephone, or, as a source, an image."""
+    bare = re.sub(r"\s+", "", value).lower()
+    kind = bare.partition(":")[0]
+    if kind == "data":
+        return attribute == "src" and bool(_INLINE.match(bare))
+    if not bare or kind in ("javascript", "vbscript"):
+        return False
+    return "://" not in bare or kind in ("http", "https", "mailto", "tel")
 
 
 def _sanitized(html: str | None) -> str:

@@ -44,11 +44,15 @@ def reading_minutes_floor(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(c, F.lit(""))) / 400).cast("int"))
 
 
+# What is no prose in Markdown: code, images, links, marks and white space.
+_NO_PROSE = (r"(?s)```.*?```", r"!\[[^\]]*\]\([^)]+\)", r"\[[^\]]+\]\([^)]+\)", r"[#>*`|_\-]", _SPACE)
+
+
 def reading_minutes_markdown(c: Column, least: Column) -> Column:
     """Minutes at 320 characters of prose each, rounded up; code, images, links and marks are no prose. At least `least` and one."""
     prose = F.coalesce(c, F.lit(""))
-    for pattern, kept in ((r"(?s)```.*?```", ""), (r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[[^\]]+\]\([^)]+\)", ""), (r"[#>*`|_\-]", ""), (_SPACE, "")):
-        prose = F.regexp_replace(prose, pattern, kept)
+    for pattern in _NO_PROSE:
+        prose = F.regexp_replace(prose, pattern, "")
     return F.greatest(F.coalesce(least, F.lit(1)), F.lit(1), F.ceil(F.length(prose) / 320).cast("int"))
 
 
@@ -90,11 +94,25 @@ def without_placeholder(c: Column) -> Column:
     return F.when(F.lower(bare).isin(*PLACEHOLDERS), "").otherwise(bare)
 
 
+# Endings and whole names that tell no firm, and signs taken off the ends of a name.
+_NAME_ENDINGS = ("官方网站", "官网首页", "官网", "首页", "主页")
+_NO_NAMES = ("官网", "官方网站", "首页", "主页", "关于我们", "about us")
+_NAME_SIGNS = " -_|｜丨—–·•:："
+
+
 def company_name(c: Column, fallback: Column) -> Column:
-    """A page title's company name: the first part between bars or spaced dashes of length 2 to 60, without official-site suffixes; else the fallback."""
-    parts = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), _SPACE, " "), r"\s*[|｜]\s*|\s+[-–—]\s+"), lambda p: F.trim(F.regexp_replace(p, r"(?i)\s*(官网|官方网站|首页|official site|official website|home)$", "")))
-    good = F.filter(parts, lambda p: F.length(p).between(2, 60) & ~F.lower(p).isin("home", "homepage", "首页", "官网", "主页", "index"))
-    return F.coalesce(F.try_element_at(good, F.lit(1)), clean_text(fallback))
+    """The firm's name in a page title: of its parts between bars or spaced dashes, without endings that tell no firm, the first of 2 to 60 characters; else the fallback, else the title."""
+    title, other = clean_text(c, 200), clean_text(fallback, 200)
+
+    def bare(part: Column) -> Column:
+        name = F.btrim(part, F.lit(_NAME_SIGNS))
+        for ending in _NAME_ENDINGS:
+            name = F.when(name.endswith(ending) & (F.length(name) > len(ending)), F.rtrim(F.substring(name, F.lit(1), F.length(name) - len(ending)))).otherwise(name)
+        return F.btrim(name, F.lit(_NAME_SIGNS))
+
+    parts = F.transform(F.split(title, r"\s*[|｜丨]\s*|\s+[—–-]\s+"), bare)
+    good = F.filter(parts, lambda x: F.length(x).between(2, 60) & ~F.lower(x).isin(*_NO_NAMES))
+    return F.coalesce(F.try_element_at(good, F.lit(1)), other, title)
 
 
 def masked(key: Column, value: Column) -> Column:

@@ -30,7 +30,7 @@ def test_text_expressions(spark):
     assert one(spark, "a\n\n \n\nb  c", text.paragraphs) == ["a", "b c"]
     assert one(spark, ["b", " b", None, "", "c" * 50], lambda c: text.ordered_list(c, 8, 40), "array<string>") == ["b", "c" * 40]
     assert one(spark, "Acme Works | Home - x", lambda c: text.company_name(c, F.lit("f"))) == "Acme Works"
-    assert one(spark, "Home", lambda c: text.company_name(c, F.lit(" f "))) == "f"
+    assert one(spark, "首页", lambda c: text.company_name(c, F.lit(" f "))) == "f"
     assert one(spark, "N/A", text.without_placeholder) == "" and one(spark, None, text.without_placeholder) == ""
     assert one(spark, "```x```[ab](u)" + "c" * 640, lambda c: text.reading_minutes_markdown(c, F.lit(1))) == 2
 

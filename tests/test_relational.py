@@ -92,12 +92,14 @@ def test_keywords(spark):
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", 'x"y'), (None, "z")], "k string, v string").coalesce(1)
     writers.write_csv(df, str(tmp_path / "csv"))
-    body = next((tmp_path / "csv").glob("part-*")).read_text("utf-8")
-    assert body == '﻿k,v\n"a","x""y"\n"","z"\n'
+    body = "".join(f.read_text("utf-8") for f in sorted((tmp_path / "csv").glob("part-*")))
+    assert body == '\ufeffk,v\n"a","x""y"\n"","z"\n'
+    assert writers.write_verified(df, str(tmp_path / "kept")) == 2
     files = writers.manifest(spark, str(tmp_path / "csv")).collect()
     assert len(files) >= 1 and all(len(f.sha256) == 64 for f in files)
+    assert writers.manifest_totals(writers.manifest(spark, str(tmp_path / "csv"))).first() == (len(files), sum(f["size"] for f in files))
     nodes = spark.createDataFrame([("c", "n", "Person"), ("c", "n", "Person"), ("c", "m", "Planet")], "company_id string, name string, type string")
-    edges = spark.createDataFrame([("c", "n", "LIKES", "m"), ("c", "", "USES", "m")], "company_id string, src string, type string, dst string")
-    assert rows(writers.graph_violations(nodes, edges)) == [("c", "blank end", "USES"), ("c", "edge", "LIKES"), ("c", "label", "m"), ("c", "repeated name", "n")]
+    edges = spark.createDataFrame([("c", "n", "LIKES", "m"), ("c", "", "USES_TECH", "m"), ("c", "n", "FOUNDED_BY", "m")], "company_id string, src string, type string, dst string")
+    assert rows(writers.graph_violations(nodes, edges)) == [("c", "blank end", "USES_TECH"), ("c", "edge", "LIKES"), ("c", "label", "m"), ("c", "repeated name", "n")]
     md = spark.range(1).select(writers.markdown_report(F.lit("t"), {"s": F.lit(1)}, {"A": F.array(F.lit("x")), "B": F.array().cast("array<string>")})).first()[0]
     assert md == "# t\n\n- s: 1\n\n## A\n- x\n\n## B\n- none"
