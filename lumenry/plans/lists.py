@@ -11,6 +11,7 @@ from lumenry.functions.refs import ref_key
 from lumenry.functions.scores import band
 from lumenry.functions.text import excerpt, query_terms
 from lumenry.operators import relational as R
+from lumenry.operators.records import item_refs
 from lumenry.operators.rolling import latest_per_day
 from lumenry.sources.tables import read_table
 
@@ -104,21 +105,23 @@ def project_excerpt(spark, d):
 
 
 def search_conversations(spark, d):
-    """Conversations whose title matches, or any of whose messages does: one semi-join per branch, unioned by key."""
-    conv = distinct_rows(spark, d, "conversations", "title").withColumn("k", ref_key(F.col("id")))
+    """Conversations whose title matches, any of whose messages does, or whose owner is a user (with usage) that does: one semi-join per branch, unioned by key."""
+    conv = distinct_rows(spark, d, "conversations", "title", "user_id").withColumn("k", ref_key(F.col("id")))
     by_title = conv.where(R.matches_any("budget", [F.col("title")])).select("k")
     by_message = read_table(spark, d, "messages").where(R.matches_any("budget", [F.col("content")])).select(ref_key(F.col("conversation_id")).alias("k")).where("k is not null")
-    hits = R.tagged_union({"title": by_title, "message": by_message}, "k")
+    users = read_table(spark, d, "user_daily_usage").where(R.matches_any("b9", [F.col("user_id")])).select("user_id")
+    by_user = conv.join(users, "user_id", "left_semi").select("k")
+    hits = R.tagged_union({"title": by_title, "message": by_message, "user": by_user}, "k")
     return conv.join(hits, "k").select("id", F.array_join("match_types", ",").alias("match_types"))
 
 
 def search_reports(spark, d):
-    """Reports whose address matches, or whose organisation's name does."""
-    reports = distinct_rows(spark, d, "diagnostic_reports", "url", "company_id").select("id", "url", ref_key(F.col("company_id")).alias("k"))
-    firms = companies(spark, d, "name").where(R.matches_any("software", [F.col("name")])).select(ref_key(F.col("id")).alias("k"))
-    by_firm = reports.join(firms, "k", "left_semi").select("id")
+    """Reports whose address matches, whose organisation's name or address does, or whose user (with usage) does."""
+    reports = distinct_rows(spark, d, "diagnostic_reports", "url", "company_id", "user_id").select("id", "url", "user_id", ref_key(F.col("company_id")).alias("k"))
+    firms = companies(spark, d, "name", "url").where(R.matches_any("software", [F.col("name"), F.col("url")])).select(ref_key(F.col("id")).alias("k"))
+    users = read_table(spark, d, "user_daily_usage").where(R.matches_any("b9", [F.col("user_id")])).select("user_id")
     by_url = reports.where(R.matches_any("hub.", [F.col("url")])).select("id")
-    return by_firm.union(by_url).distinct()
+    return reports.join(firms, "k", "left_semi").select("id").union(by_url).union(reports.join(users, "user_id", "left_semi").select("id")).distinct()
 
 
 def semi_diagnostic_messages(spark, d):
@@ -154,7 +157,7 @@ def conversation_rollup(spark, d):
 def related_conversations(spark, d):
     """Conversations related to an organisation by recommendation or by its reports, with the kinds of relation."""
     rows = distinct_rows(spark, d, "messages", "conversation_id", "recommended_companies", "diagnostic_context_id").withColumn("conv", ref_key(F.col("conversation_id"))).where("conv is not null")
-    recommended = rows.select("conv", F.explode(R.string_list(F.col("recommended_companies"))).alias("ref")).select(F.struct(ref_key(F.col("ref")).alias("company"), "conv").alias("p")).where("p.company is not null")
+    recommended = rows.select("conv", F.explode(item_refs(F.col("recommended_companies"))).alias("ref")).select(F.struct(ref_key(F.col("ref")).alias("company"), "conv").alias("p")).where("p.company is not null")
     reports = distinct_rows(spark, d, "diagnostic_reports", "company_id").select(ref_key(F.col("id")).alias("r"), ref_key(F.col("company_id")).alias("company"))
     diagnosed = rows.withColumn("r", ref_key(F.col("diagnostic_context_id"))).join(reports, "r").select(F.struct("company", "conv").alias("p")).where("p.company is not null")
     return R.tagged_union({"recommended": recommended, "diagnosed": diagnosed}, "p").select("p.company", "p.conv", F.array_join("match_types", ",").alias("match_types"))
@@ -391,9 +394,9 @@ def replaced_groups(spark, d):
 
 
 def anonymised_conversations(spark, d):
-    """Conversations with the owner taken out where that user has no usage rows."""
-    users = read_table(spark, d, "user_daily_usage").select("user_id").distinct().withColumn("known", F.lit(True))
-    return distinct_rows(spark, d, "conversations", "user_id").join(users, "user_id", "left").select("id", F.when(F.col("known"), F.col("user_id")).alias("user_id"))
+    """Conversations with the days and last day of their owner's usage, and the owner taken out where that user has none."""
+    users = read_table(spark, d, "user_daily_usage").groupBy("user_id").agg(F.count_distinct("usage_date").alias("days"), F.date_format(F.max("usage_date"), "yyyy-MM-dd").alias("last_day"))
+    return distinct_rows(spark, d, "conversations", "user_id").join(users, "user_id", "left").select("id", F.when(F.col("days").isNotNull(), F.col("user_id")).alias("user_id"), "days", "last_day")
 
 
 def customer_nation_lookup(spark, d):
@@ -445,14 +448,14 @@ SQL = {
     "profile_missing_fields": f"SELECT id, concat_ws(',', CASE WHEN trim(coalesce(description, '')) = '' AND trim(coalesce(short_description, '')) = '' THEN 'description' END, CASE WHEN trim(coalesce(category, '')) = '' THEN 'category' END, CASE WHEN len({_T}) = 0 THEN 'tags' END, CASE WHEN geo_score IS NULL THEN 'geo_score' END, CASE WHEN NOT coalesce(json_valid(geo_details), false) OR {' OR '.join(f"json_extract_string(CASE WHEN json_valid(geo_details) THEN geo_details END, '$.{k}') IS NULL" for k in ('schema', 'content', 'meta', 'citation'))} THEN 'geo_details' END) AS missing FROM {_C}",
     "project_brief": f"SELECT id, name, len({_T})::int AS n_tags, coalesce(upvotes, 0) AS upvotes FROM {_C}",
     "project_excerpt": f"SELECT id, substring(replace(regexp_replace(content, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), chr(10), ' '), 1, 120) AS excerpt FROM {_D('messages')}",
-    "search_conversations": f"SELECT id, concat_ws(',', CASE WHEN m THEN 'message' END, CASE WHEN t THEN 'title' END) AS match_types FROM (SELECT id, coalesce(title ILIKE '%budget%', false) AS t, coalesce({_k('id')} IN (SELECT {_k('conversation_id')} FROM messages WHERE content ILIKE '%budget%' AND {_k('conversation_id')} IS NOT NULL), false) AS m FROM {_D('conversations')}) WHERE t OR m",
-    "search_reports": f"SELECT DISTINCT id FROM diagnostic_reports WHERE url ILIKE '%hub.%' OR {_k('company_id')} IN (SELECT {_k('id')} FROM {_C} WHERE name ILIKE '%software%')",
+    "search_conversations": f"SELECT id, concat_ws(',', CASE WHEN m THEN 'message' END, CASE WHEN t THEN 'title' END, CASE WHEN u THEN 'user' END) AS match_types FROM (SELECT id, coalesce(title ILIKE '%budget%', false) AS t, coalesce({_k('id')} IN (SELECT {_k('conversation_id')} FROM messages WHERE content ILIKE '%budget%' AND {_k('conversation_id')} IS NOT NULL), false) AS m, coalesce(user_id IN (SELECT user_id FROM user_daily_usage WHERE user_id ILIKE '%b9%'), false) AS u FROM {_D('conversations')}) WHERE t OR m OR u",
+    "search_reports": f"SELECT DISTINCT id FROM diagnostic_reports WHERE url ILIKE '%hub.%' OR {_k('company_id')} IN (SELECT {_k('id')} FROM {_C} WHERE name ILIKE '%software%' OR url ILIKE '%software%') OR user_id IN (SELECT user_id FROM user_daily_usage WHERE user_id ILIKE '%b9%')",
     "semi_diagnostic_messages": f"SELECT id FROM {_D('conversations')} WHERE {_k('id')} IN (SELECT {_k('conversation_id')} FROM messages WHERE {_k('diagnostic_context_id')} IS NOT NULL)",
     "lookup_report_company": f"SELECT r.id, r.status, c.name AS company_name FROM {_D('diagnostic_reports')} r LEFT JOIN {_C} c ON {_k('c.id')} = {_k('r.company_id')}",
     "lookup_message_report": f"SELECT m.id, r.url AS report_url, r.overall_score AS report_score FROM {_D('messages')} m LEFT JOIN {_D('diagnostic_reports')} r ON {_k('r.id')} = {_k('m.diagnostic_context_id')} WHERE {_k('m.diagnostic_context_id')} IS NOT NULL",
     "conversation_rollup": f"SELECT {_k('conversation_id')} AS conversation, count(*) AS n_messages, count(*) FILTER (lower(trim(role)) = 'assistant') AS n_assistant, bool_or(len({_RECS}) > 0) AS has_recommendations, sum(len({_RECS}))::bigint AS n_recommendations, count(DISTINCT {_k('diagnostic_context_id')}) AS n_reports, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM {_D('messages')} WHERE {_k('conversation_id')} IS NOT NULL GROUP BY 1",
     "related_conversations": f"""WITH m AS (SELECT *, {_k('conversation_id')} AS conv FROM {_D('messages')} WHERE {_k('conversation_id')} IS NOT NULL),
-  p AS (SELECT {_k('ref')} AS company, conv, 'recommended' AS kind FROM (SELECT conv, unnest({_RECS}) AS ref FROM m) WHERE {_k('ref')} IS NOT NULL
+  p AS (SELECT {_k('ref')} AS company, conv, 'recommended' AS kind FROM (SELECT conv, json_extract_string(unnest(json_extract(CASE WHEN json_valid(recommended_companies) THEN recommended_companies ELSE '[]' END, '$[*]')), '$.company_id') AS ref FROM m) WHERE {_k('ref')} IS NOT NULL
     UNION SELECT {_k('r.company_id')}, m.conv, 'diagnosed' FROM m JOIN {_D('diagnostic_reports')} r ON {_k('r.id')} = {_k('m.diagnostic_context_id')} WHERE {_k('r.company_id')} IS NOT NULL)
   SELECT company, conv, string_agg(kind, ',' ORDER BY kind) AS match_types FROM p GROUP BY ALL""",
     "trend_calendar": "WITH g AS (SELECT unnest(generate_series(TIMESTAMP '2025-06-01', TIMESTAMP '2025-06-14', INTERVAL 1 DAY))::date AS day) SELECT strftime(day, '%m-%d') AS day, " + ", ".join(f"(SELECT count(DISTINCT id) FROM {t} x WHERE x.created_at::date = g.day) AS {s}" for t, s in (("company_votes", "votes"), ("diagnostic_reports", "reports"), ("conversations", "conversations"), ("messages", "messages"), ("companies", "companies"))) + " FROM g",
@@ -490,7 +493,7 @@ SQL = {
     "upsert_usage": "SELECT user_id, strftime(usage_date, '%Y-%m-%d') AS usage_date, id, total_tokens, request_count FROM (SELECT DISTINCT * FROM user_daily_usage) QUALIFY row_number() OVER (PARTITION BY user_id, usage_date ORDER BY updated_at DESC NULLS LAST, id DESC) = 1",
     "insert_absent": "SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_nationkey > 2 UNION ALL SELECT r_regionkey, r_name FROM region WHERE r_regionkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 2)",
     "replaced_groups": "SELECT p_partkey, p_brand, CASE WHEN p_brand = 'Brand#11' THEN round_even(p_retailprice / 2, 2) ELSE p_retailprice END AS p_retailprice FROM part",
-    "anonymised_conversations": f"SELECT id, CASE WHEN user_id IN (SELECT user_id FROM user_daily_usage) THEN user_id END AS user_id FROM {_D('conversations')}",
+    "anonymised_conversations": f"SELECT c.id, u.user_id, u.days, u.last_day FROM {_D('conversations')} c LEFT JOIN (SELECT user_id, count(DISTINCT usage_date) AS days, strftime(max(usage_date), '%Y-%m-%d') AS last_day FROM user_daily_usage GROUP BY 1) u ON u.user_id = c.user_id",
     "customer_nation_lookup": "SELECT n_name, o_orderstatus, count(*) AS n_orders, round_even(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
     "duplicate_fields": f"SELECT field, value, count(*) AS n, min(id) AS least_id FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, lower(trim({c})) AS value, id FROM {_C}" for c in ("name", "url", "path_key")) + ") WHERE value IS NOT NULL AND value <> '' GROUP BY 1, 2 HAVING count(*) > 1",
 }

@@ -1,9 +1,9 @@
 import pytest
 
-from lumenry.plans import analysis, general, lists
+from lumenry.plans import analysis, general, lists, services
 from tests.oracle import DATA, differences
 
-QUERIES = {n: (f, m.SQL.get(n)) for m in (general, lists, analysis) for n, f in m.QUERIES.items()}
+QUERIES = {n: (f, m.SQL.get(n)) for m in (general, lists, analysis, services) for n, f in m.QUERIES.items()}
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
