@@ -21,98 +21,96 @@ LEAST_TIE = 0.1
 
 
 def _terms(content: Column) -> Column:
-    """Distinct words of three or more letters, and Chinese characters in pairs of neighbours."""
+    """Hashes of the distinct words of three or more letters, and of Chinese characters in pairs of neighbours."""
     low = F.lower(F.coalesce(content, F.lit("")))
-    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"[\p{L}&&[^一-鿿]]{3,}"), F.lit(0)), F.regexp_extract_all(low, F.lit(r"[一-鿿]{2}"), F.lit(0))))
+    words = F.concat(F.regexp_extract_all(low, F.lit(r"[\p{L}&&[^一-鿿]]{3,}"), F.lit(0)), F.regexp_extract_all(low, F.lit(r"[一-鿿]{2}"), F.lit(0)))
+    return F.array_distinct(F.transform(words, lambda w: F.hash(w)))
 
 
-def reply_links(messages: DataFrame, lookback: int = 1) -> DataFrame:
-    """The likeliest parent of each message among the `lookback` messages before it in its conversation.
+def _calls(content: Column) -> Column:
+    """The speakers that a message names with an @."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(content, F.lit(""))), F.lit(r"@(\w+)"), F.lit(1)))
 
-    Columns conv, id, role, at, rank, empty, content, prev_id, prev_role (of the message directly
-    before), parent_id and score. A candidate's score adds the other speaker, nearness in time, a
-    mention (`@` and the candidate's role) and the shared share of words; the nearer candidate wins
-    a tie. The first message has no parent. With lookback 1 the order alone decides, and scores only
-    grade the link. Rows without role, time or conversation are left out; repeats count once. Each
-    step back costs one pass of with_previous, which keeps hot conversations split by day.
-    """
-    rows = ordered_messages(messages, is_empty_text(F.col("content")).alias("empty"), "content", _terms(F.col("content")).alias("terms")).withColumn("mid", F.col("id")).where("role is not null and at is not null")
-    carried = ["mid", "role", "at", "terms"]
-    linked = with_previous(rows, carried)
-    best = None
-    for step in range(1, lookback + 1):
-        p = "prev_" * step
-        shared = F.size(F.array_intersect("terms", f"{p}terms")) / F.greatest(F.lit(1), F.least(F.size("terms"), F.size(f"{p}terms")))
-        gap = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col(f"{p}at").cast("timestamp"))
-        score = F.when(F.col("role") != F.col(f"{p}role"), OTHER_SPEAKER).otherwise(0.0) + NEARNESS * F.exp(-gap / 1e6 / PACE) + F.when(F.contains(F.lower("content"), F.concat(F.lit("@"), F.col(f"{p}role"))), MENTION).otherwise(0.0) + OVERLAP * shared
-        link = F.when(F.col(f"{p}mid").isNotNull(), F.struct(score.alias("score"), F.lit(-step).alias("near"), F.col(f"{p}mid").alias("parent_id")))
-        best = link if best is None else F.greatest(best, link)
-        if step < lookback:
-            carried = [f"prev_{c}" for c in carried]
-            linked = with_previous(linked, carried)
-    kept = linked.withColumn("_best", best)
-    return kept.select("conv", "id", "role", "at", "rank", "empty", "content", "prev_id", "prev_role", F.col("_best.parent_id").alias("parent_id"), F.coalesce("_best.score", F.lit(0.0)).alias("score"))
 
+def reply_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The likeliest parent of each message among all messages of the `window` seconds before it in its conversation.
 
-def thread_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The likeliest parent of each message among all messages of the `window` seconds before it, and its thread.
-
-    Columns conv, id, role, at, rank, content, prev_id, parent_id, score and root_id (the message
-    at the root of its tree of links). Scores are those of reply_links; the nearer candidate wins a
-    tie. Any message with words but an assistant's begins a thread if no candidate ties it by more
-    than a change of speaker (LEAST_TIE); one without words cannot tell and takes the likeliest. An
-    assistant's without a candidate answers the message directly before. Candidates meet by conversation and stretch of time, so that the pairs follow the pace
-    of a conversation, not its length.
+    Columns conv, id, role, at, rank, empty, prev_id, prev_role, prev_at (of the message directly
+    before), parent_id, parent_role, parent_at, parent_rank and score. A candidate's score adds the other speaker, nearness
+    in time, a mention (`@` and the candidate's role) and the shared share of words; the nearer
+    candidate wins a tie. Any message with words but an assistant's begins a thread if no candidate
+    ties it by more than a change of speaker (LEAST_TIE); one without words cannot tell and takes the
+    likeliest. An assistant's without a candidate answers the message directly before. Candidates
+    meet by conversation and stretch of time, so that the pairs follow the pace of a conversation,
+    not its length; words travel as hashes, texts not at all. Rows without role, time or conversation are left out; repeats
+    count once.
     """
-    rows = ordered_messages(messages, "content", _terms(F.col("content")).alias("terms")).where("role is not null and at is not null")
-    known = staged(with_previous(rows.select("conv", "id", "role", "at", "rank", "terms", F.when(F.contains("content", F.lit("@")), F.lower("content")).alias("calls")), ["role", "at"]).withColumn("sec", F.unix_micros(F.col("at").cast("timestamp")) / 1e6).withColumn("num", F.monotonically_increasing_id()))
+    rows = ordered_messages(messages, is_empty_text(F.col("content")).alias("empty"), _terms(F.col("content")).alias("terms"), _calls(F.col("content")).alias("calls")).where("role is not null and at is not null")
+    rows = rows.withColumn("sec", F.unix_micros(F.col("at").cast("timestamp")) / 1e6)
+    key = ["conv", "id", "role", "at", "rank"]
     stretch = F.floor(F.col("sec") / window)
-    asking = known.withColumn("stretch", stretch)
-    earlier = known.select("conv", *[F.col(c).alias(f"c_{c}") for c in ("num", "id", "role", "at", "rank", "terms", "sec")], F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    asking = rows.select(*key, "terms", "calls", "sec", stretch.alias("stretch"))
+    earlier = rows.select("conv", *[F.col(c).alias(f"c_{c}") for c in ("id", "role", "at", "rank", "terms", "sec")], F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
     order = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("at", "rank", "id")])
     met = asking.join(earlier, ["conv", "stretch"]).where((order("c_") < order("")) & (F.col("sec") - F.col("c_sec") <= window))
     shared = F.size(F.array_intersect("terms", "c_terms")) / F.greatest(F.lit(1), F.least(F.size("terms"), F.size("c_terms")))
-    tie = NEARNESS * F.exp((F.col("c_sec") - F.col("sec")) / PACE) + F.when(F.contains("calls", F.concat(F.lit("@"), F.col("c_role"))), MENTION).otherwise(0.0) + OVERLAP * shared
+    tie = NEARNESS * F.exp((F.col("c_sec") - F.col("sec")) / PACE) + F.when(F.array_contains("calls", F.col("c_role")), MENTION).otherwise(0.0) + OVERLAP * shared
     tied = met.withColumn("tie", tie).where((F.col("role") == "assistant") | (F.size("terms") == 0) | (F.col("tie") >= LEAST_TIE))
     score = F.when(F.col("role") != F.col("c_role"), OTHER_SPEAKER).otherwise(0.0) + F.col("tie")
-    best = tied.groupBy("num").agg(F.max(F.struct(score.alias("score"), F.col("c_at").alias("at"), F.col("c_rank").alias("rank"), F.col("c_id").alias("id"), F.col("c_num").alias("num"))).alias("best"))
+    best = tied.groupBy(*key).agg(F.max(F.struct(score.alias("score"), *[F.col(f"c_{c}").alias(c) for c in ("at", "rank", "id", "role")])).alias("best"))
+    known = with_previous(rows.select(*key, "empty"), ["role", "at", "rank"])
     direct = F.col("best").isNull() & (F.col("role") == "assistant")
-    chosen = known.select("conv", "id", "num", "role", "at", "rank", "prev_id", "prev_role", "prev_at").join(best, "num", "left").select(
-        "conv", "id", "role", "at", "rank", "num", "prev_id", F.when(direct, F.col("prev_at")).alias("parent_at"), F.when(direct, F.col("prev_id")).otherwise(F.col("best.id")).alias("parent_id"),
-        F.when(direct & (F.col("role") != F.col("prev_role")), OTHER_SPEAKER).otherwise(F.coalesce("best.score", F.lit(0.0))).alias("score"), F.col("best.num").alias("parent"),
-    )
-    numbers = known.select("conv", F.col("id").alias("parent_id"), F.col("at").alias("parent_at"), F.col("num").alias("direct"))
-    links = staged(chosen.where("parent is not null or parent_id is null").unionByName(chosen.where("parent is null and parent_id is not null").join(numbers, ["conv", "parent_id", "parent_at"]).withColumn("parent", F.col("direct")).drop("direct")))
-    roots = follow_pointers(links, "num", "parent").join(links.select(F.col("num").alias("root"), F.col("id").alias("root_id")), "root")
-    threads = links.join(roots.select(F.col("node").alias("num"), "root_id"), "num").select("conv", "id", "role", "at", "rank", "prev_id", "parent_id", "score", "root_id")
+    parent = lambda c: F.when(direct, F.col(f"prev_{c}")).otherwise(F.col(f"best.{c}")).alias(f"parent_{c}")
+    told = F.when(direct & (F.col("role") != F.col("prev_role")), OTHER_SPEAKER).otherwise(F.coalesce("best.score", F.lit(0.0)))
+    return known.join(best, key, "left").select(*key, "empty", "prev_id", "prev_role", "prev_at", parent("id"), parent("role"), parent("at"), parent("rank"), told.alias("score"))
+
+
+def thread_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The links of reply_links as trees: conv, id, role, at, rank, content, prev_id, parent_id, score and root_id (the message at the root of its tree)."""
     key = ["conv", "id", "role", "at", "rank"]
-    return rows.select(*key, "content").dropDuplicates(key).join(threads, key)
+    links = staged(reply_links(messages, window).withColumn("num", F.monotonically_increasing_id()))
+    numbers = links.select("conv", F.col("id").alias("parent_id"), F.col("at").alias("parent_at"), F.col("rank").alias("parent_rank"), F.col("num").alias("parent"))
+    tree = links.join(numbers, ["conv", "parent_id", "parent_at", "parent_rank"], "left").select("num", "parent")
+    roots = follow_pointers(tree, "num", "parent").join(links.select(F.col("num").alias("root"), F.col("id").alias("root_id")), "root")
+    threads = links.join(roots.select(F.col("node").alias("num"), "root_id"), "num").select(*key, "prev_id", "parent_id", "score", "root_id")
+    texts = ordered_messages(messages, "content").where("role is not null and at is not null").dropDuplicates(key)
+    return texts.join(threads, key)
 
 
 def conversation_state(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Per conversation: conversation_id, reason (null where it can be used), n_messages.
 
-    reason is the first that holds: `empty` (no messages, or all of them without content), `broken`
-    (a message with a blank role or null time, an assistant first, or two assistants in a row),
-    `missing_reply` (a user message whose direct successor is not an assistant's, or an empty one).
-    Ids compare as references and come out in canonical form; repeated rows count once; a null or
+    The reply links choose what is suspect: a conversation in which an assistant's likeliest parent
+    is missing, no user's message, or not the message directly before, or in which a user's message
+    has not exactly one assistant's message below it. A conversation without such links alternates
+    without a gap, so nothing else can be broken or lack a reply. Of the suspect ones the order then
+    gives the reason, the first that holds: `empty` (no messages, or all of them without content),
+    `broken` (a message with a blank role or null time, an assistant first, or two assistants in a
+    row), `missing_reply` (a user message whose direct successor is not an assistant's, or an empty
+    one). Ids compare as references and come out in canonical form; repeated rows count once; a null or
     blank id is no conversation. Everything per conversation is a combinable aggregate, so a hot
     conversation sends one row per task.
     """
     ids = conversations.select(ref_key(F.col("id")).alias("conv")).where("conv is not null").distinct()
-    rows = ordered_messages(messages, is_empty_text(F.col("content")).alias("empty"))
-    seen = rows.groupBy("conv").agg(F.bool_and("empty").alias("all_empty"), F.bool_or(F.col("role").isNull() | F.col("at").isNull()).alias("unordered"))
-    links = with_previous(rows.where("role is not null and at is not null"), ["role"])
-    answered = (F.col("role") == "assistant") & (F.col("prev_role") == "user")
+    seen = ordered_messages(messages, is_empty_text(F.col("content")).alias("empty")).groupBy("conv").agg(F.bool_and("empty").alias("all_empty"), F.bool_or(F.col("role").isNull() | F.col("at").isNull()).alias("unordered"))
+    links = reply_links(messages)
+    assistant, user = F.col("role") == "assistant", F.col("role") == "user"
+    answered = assistant & (F.col("prev_role") == "user")
+    below = assistant & (F.col("parent_role") == "user")
+    astray = assistant & (F.col("parent_id").isNull() | (F.col("parent_role") != "user") | (F.col("parent_id") != F.col("prev_id")) | (F.col("parent_at") != F.col("prev_at")))
     judged = links.groupBy("conv").agg(
         F.count(F.lit(1)).alias("n_messages"),
-        F.bool_or((F.col("role") == "assistant") & (F.col("prev_id").isNull() | (F.col("prev_role") == "assistant"))).alias("misplaced"),
+        F.bool_or(F.coalesce(astray, F.lit(False)) | (below & F.col("empty")) | ~(assistant | user)).alias("astray"),
+        F.count_if(user).alias("users"), F.count_if(below).alias("replies"),
+        F.bool_or(assistant & (F.col("prev_id").isNull() | (F.col("prev_role") == "assistant"))).alias("misplaced"),
         F.bool_or(((F.col("prev_role") == "user") & ~answered) | (answered & F.col("empty"))).alias("unanswered"),
         F.max_by("role", F.struct("at", "rank", "id")).alias("last_role"),
     )
+    # where no assistant is astray, each answers the message directly before it, so that no two share a parent and equal counts mean one reply each
+    suspect = F.coalesce(F.col("astray") | (F.col("users") != F.col("replies")), F.lit(True))
     all_ = ids.join(seen, "conv", "left").join(judged, "conv", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    reason = F.when(F.coalesce("all_empty", F.lit(True)), "empty").when(yes("unordered") | yes("misplaced"), "broken").when(yes("unanswered") | (F.col("last_role") == "user"), "missing_reply")
+    reason = F.when(F.coalesce("all_empty", F.lit(True)), "empty").when(yes("unordered"), "broken").when(suspect & yes("misplaced"), "broken").when(suspect & (yes("unanswered") | (F.col("last_role") == "user")), "missing_reply")
     return all_.select(uuid_text(F.col("conv")).alias("conversation_id"), reason.alias("reason"), F.coalesce("n_messages", F.lit(0)).alias("n_messages"))
 
 

@@ -118,10 +118,36 @@ def test_states_and_turns(spark):
 
 def test_links_look_back(spark):
     m = lambda i, role, text, minute: (i, conv(1), role, text, T0 + dt.timedelta(minutes=minute))
-    rows = [m("1", "user", "price of solar panels", 0), m("2", "ai", "solar panels price list", 1), m("3", "user", "thanks", 2), m("4", "user", "another matter entirely", 30), m("5", "ai", "thanks taken", 31)]
-    got = {r.id: (r.parent_id, r.prev_id) for r in reply_links(frame(spark, rows), lookback=3).collect()}
-    assert got["1"] == (None, None) and got["2"][0] == "1" and got["5"][1] == "4" and got["5"][0] in ("3", "4") and got["4"][1] == "3"
-    assert {k: v[1] for k, v in got.items()} == {"1": None, "2": "1", "3": "2", "4": "3", "5": "4"}
+    rows = [m("1", "user", "price of solar panels", 0), m("2", "ai", "solar panels price list", 1), m("3", "user", "thanks for the roof", 2), m("4", "user", "another matter entirely", 3), m("5", "ai", "thanks, the roof it is", 4), m("6", "ai", "@user yes", 5)]
+    got = {r.id: (r.parent_id, r.prev_id) for r in reply_links(frame(spark, rows + rows[:3])).collect()}
+    assert got["1"] == (None, None) and got["2"] == ("1", "1") and got["5"] == ("3", "4") and got["6"][1] == "5" and {k: v[1] for k, v in got.items()} == {"1": None, "2": "1", "3": "2", "4": "3", "5": "4", "6": "5"}
+
+
+def test_states_follow_the_links(spark):
+    m = lambda i, k, role, text, minute: (i, conv(k), role, text, T0 + dt.timedelta(minutes=minute))
+    rows = [m("1", 1, "user", "solar roof", 0), m("2", 1, "user", "tax number", 1), m("3", 1, "ai", "tax number fine", 2), m("4", 1, "ai", "solar roof fine", 3), m("5", 2, "user", "q", 0), m("6", 2, "ai", "a", 1)]
+    conversations = spark.createDataFrame([(conv(1),), (conv(2),)], "id string")
+    state = lambda: {int(r.conversation_id.replace("-", ""), 16): r.reason for r in conversation_state(conversations, frame(spark, rows)).collect()}
+    assert state() == {1: "broken", 2: None}
+    links = {r.id: r.parent_id for r in reply_links(frame(spark, rows)).collect()}
+    assert links["4"] == "1" and links["3"] == "2"
+    rng = random.Random(9)
+    many = [m(f"m{i:03d}", rng.randrange(1, 60), rng.choice(["user", "ai"]), rng.choice(["solar roof", "tax number", "garden fence", "", "..."]), rng.randrange(4000)) for i in range(240)]
+    ids = spark.createDataFrame([(conv(i),) for i in range(1, 60)], "id string")
+    with_links = sorted(map(tuple, conversation_state(ids, frame(spark, many)).collect()))
+    by_order = {}
+    for i in range(1, 60):
+        ms = sorted({(x[4], x[2] != "user", x[0], x[2], x[3]) for x in many if x[1] == conv(i)})
+        empty = lambda t: not t.strip(" .")
+        if not ms or all(empty(x[4]) for x in ms):
+            by_order[i] = "empty"
+        elif ms[0][3] == "ai" or any(a[3] == b[3] == "ai" for a, b in zip(ms, ms[1:])):
+            by_order[i] = "broken"
+        elif any(x[3] == "user" and (n + 1 == len(ms) or ms[n + 1][3] != "ai" or empty(ms[n + 1][4])) for n, x in enumerate(ms)):
+            by_order[i] = "missing_reply"
+        else:
+            by_order[i] = None
+    assert {int(k.replace("-", ""), 16): r for k, r, _ in with_links} == by_order
 
 
 def test_interleaved_threads(spark):
