@@ -29,7 +29,8 @@ _REFUSALS = {
     "fr": r"je ne (?:peux|puis|donne|donnerai|dois|veux|suis|saurais|pourrai|fournis|commente)|il m'est (?:interdit|impossible)|m'est (?:fermé|interdit|impossible)|m'est pas (?:permis|possible)|préfère ne pas|dois (?:\w+ )?(?:refuser|décliner)|rien le droit|pas le droit|de mon cadre|mes (?:règles|consignes)|aucun commentaire|pas de commentaire|ne serait pas (?:approprié|convenable|correct)|rien (?:à|que je puisse) (?:dire|partager)|on m'a demandé de ne pas|pas autorisé|bloquées? pour moi",
     "zh": r"无法|不能(?:回答|讨论|提供|协助|帮助|评论|谈)|不便|不予|不提供|没有权限|拒绝|无权|被限制|已被限制|受限|恕|不可以(?:回答|讨论|提供)|不允许|超出了允许|不合适|不方便|不宜|不适合|谢绝|不作(?:评论|回答)|没有(?:什么)?(?:可以|能|可)",
 }
-_REFUSAL = {lang: re.compile(p, re.IGNORECASE) for lang, p in _REFUSALS.items()} | {"": re.compile("|".join(f"(?:{p})" for p in _REFUSALS.values()), re.IGNORECASE)}
+#: The phrases, for texts in lower case.
+_REFUSAL = {lang: re.compile(p) for lang, p in _REFUSALS.items()} | {"": re.compile("|".join(f"(?:{p})" for p in _REFUSALS.values()))}
 #: Sentences that decline often add, which give no help either.
 _CLOSER = re.compile(r"please (?:contact|consult|ask|see)|qualified|adviser|advisor|professional|anything else|something else|other topic|another question|sorry|apolog|fachperson|sonst (?:etwas|noch)|wenden sie sich|etwas anderes|tut mir leid|profesional|otra cosa|otro tema|lo siento|spécialiste|professionnel|autre chose|autre sujet|désolé|专业|别的|其他问题|抱歉|对不起", re.IGNORECASE)
 #: Signs that a sentence goes on to help after all.
@@ -62,6 +63,7 @@ _NAMES = {
 _ASKS = {lang: re.compile(rf"(?:answer|reply|respond|write|translate|response|in|auf|ins|übersetz\w*|antwort\w*|en|al|responde\w*|contesta\w*|traduc\w*|répond\w*|traduis\w*|用|以|译成|翻译成|成)\s*(?:the |in |into |auf |ins |en |al |à |, )?(?:{p})", re.IGNORECASE) for lang, p in _NAMES.items()}
 _QUOTE = re.compile(r"^[\s\"'“”„«»‘’「」『』>*_]*(?:(?:so )?(?:your|the|my)?\s*question(?: is| was)?|you (?:asked|ask)|question|frage|ihre frage|pregunta|tu pregunta|votre question|问题|您的问题|你的问题|q)\s*(?:is|ist|es|est|是)?\s*[:：]\s*", re.IGNORECASE)
 _KEEP = re.compile(r"[^\w]+|_+")
+_SOLID = re.compile(r"[^\W_]")
 _URL_END = re.compile(r"https?://[^\s/]+\.[^\s]+$")
 _ITEM_ONLY = re.compile(r"\n\s*(?:[-*•]|\d+[.)]|\(?[a-z][.)])\s*$")
 
@@ -134,6 +136,8 @@ def _same(question: str, answer: str) -> bool:
     """Whether the answer is the question again, once or more, perhaps quoted, in other case or with small slips."""
     if 3 * len(answer) < len(question):
         return False
+    if len(answer) > 2 * len(question) + 60 and len(set(answer.lower().split())) > 2 * len(question.split()) + 8:
+        return False  # the question over and over would have few words of its own
     q, a = _KEEP.sub("", question.lower()), _KEEP.sub("", _QUOTE.sub("", answer).lower())
     if len(q) < 4 or not a:
         return False
@@ -155,12 +159,9 @@ def _refuses(answer: str, lang: str) -> bool:
     One sentence may stand before the one that declines; every later one must decline, too, or be one that refusals often add.
     """
     refusal = _REFUSAL.get(lang) or _REFUSAL[""]
-    text, parts = answer.strip(), []
-    for m in _SENTENCE.finditer(text):  # the first two sentences tell most answers
-        parts = [p for p in _SENTENCE.split(text[: m.start()]) if _KEEP.sub("", p)]
-        if len(parts) == 2:
-            break
-    if not refusal.search(text[: m.start()] if len(parts) == 2 else text):
+    text = answer.strip().lower()
+    first = _SENTENCE.split(text, maxsplit=3)[:3]  # two sentences tell most answers
+    if sum(map(bool, map(_SOLID.search, first))) >= 2 and not any(map(refusal.search, first)):
         return False
     parts = [p for p in _SENTENCE.split(text) if _KEEP.sub("", p)]
     declines = [bool(refusal.search(p)) and not _BUT.search(p) for p in parts]
@@ -178,6 +179,7 @@ def _other_language(question: str, lang: str, margin: float) -> bool:
 
 # Delimiters that come in pairs.
 _PAIRS = {")": "(", "）": "（", "]": "[", "】": "【", "}": "{", "」": "「", "』": "『", "》": "《", "”": "“"}
+_OPENERS = re.compile(r"[(（\[【{「『《“]")
 _DELIMITER = re.compile(r"[:;]-?[()]|[(（\[【{「『《“)）\]】}」』》”]")
 
 
@@ -195,6 +197,8 @@ def _open(answer: str) -> bool:
     last = prose.rstrip().rfind("\n")
     if last > 0 and _ITEM_ONLY.match(prose[last:]):
         return True
+    if not _OPENERS.search(prose):
+        return False
     german = prose.count("„")
     stack: list[str] = []
     for mark in _DELIMITER.findall(prose):
