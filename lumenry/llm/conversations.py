@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +19,8 @@ from lumenry.sources.stage import staged
 OTHER_SPEAKER, NEARNESS, MENTION, OVERLAP = 2.0, 1.0, 0.5, 1.0
 #: Seconds after which nearness has fallen to about a third.
 PACE = 600.0
-#: Seconds within which a message is a candidate; nearness is nothing long before.
-WINDOW = 86_400
+#: Seconds within which a message is a candidate, long after nearness is nothing; windows of a stretch of time that is worked on at once.
+WINDOW, STRETCH = 14_400, 12
 #: Nearness, mention and shared words that a user's message needs together to go on with a thread.
 LEAST_TIE = 0.1
 
@@ -32,6 +37,49 @@ def _calls(content: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(content, F.lit(""))), F.lit(r"@(\w+)"), F.lit(1)))
 
 
+def _likeliest(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Over rows sorted by conversation, stretch and order: each own row with its likeliest parent among those of the window before it.
+
+    Only the messages of the last window are held. From the nearest candidate on, the rest are left
+    as soon as even a full likeness could not reach the best.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: tuple = ()
+        recent: deque = deque()
+        for pdf in frames:
+            found = []
+            for conv, stretch, own, us, rank, mid, role, terms, calls in zip(*[pdf[c].tolist() for c in ("conv", "stretch", "own", "us", "rank", "id", "role", "terms", "calls")], strict=True):
+                if (conv, stretch) != group:
+                    group = (conv, stretch)
+                    recent.clear()
+                while recent and recent[0][0] < us - window * 1_000_000:
+                    recent.popleft()
+                words, best = set(terms), None
+                free = role == "assistant" or not words
+                most = OTHER_SPEAKER + OVERLAP + (MENTION if len(calls) else 0.0)
+                for at, nth, cid, speaker, theirs in reversed(recent) if own else ():
+                    if (at, nth, cid) == (us, rank, mid):
+                        continue
+                    near = NEARNESS * math.exp((at - us) / 1e6 / PACE)
+                    if best is not None and near + most < best[0]:
+                        break
+                    tie = near + (MENTION if speaker in calls else 0.0) + OVERLAP * len(words & theirs) / max(1, min(len(words), len(theirs)))
+                    if free or tie >= LEAST_TIE:
+                        link = (tie + (OTHER_SPEAKER if role != speaker else 0.0), at, nth, cid, speaker)
+                        best = link if best is None or link > best else best
+                recent.append((us, rank, mid, role, words))
+                if own:
+                    found.append(best or (0.0, None, None, None, None))
+            out = pdf.loc[pdf["own"], ["conv", "id", "role", "at", "rank", "empty"]].reset_index(drop=True)
+            names = ("score", "parent_us", "parent_rank", "parent_id", "parent_role")
+            columns = zip(*found, strict=True) if found else [()] * len(names)
+            links = {n: pd.Series(list(v), dtype={"score": "float64", "parent_us": "Int64", "parent_rank": "Int32"}.get(n, "object")) for n, v in zip(names, columns, strict=True)}
+            yield pd.concat([out, pd.DataFrame(links)], axis=1)
+
+    return run
+
+
 def reply_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
     """The likeliest parent of each message among all messages of the `window` seconds before it in its conversation.
 
@@ -40,29 +88,24 @@ def reply_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
     in time, a mention (`@` and the candidate's role) and the shared share of words; the nearer
     candidate wins a tie. Any message with words but an assistant's begins a thread if no candidate
     ties it by more than a change of speaker (LEAST_TIE); one without words cannot tell and takes the
-    likeliest. An assistant's without a candidate answers the message directly before. Candidates
-    meet by conversation and stretch of time, so that the pairs follow the pace of a conversation,
-    not its length; words travel as hashes, texts not at all. Rows without role, time or conversation are left out; repeats
-    count once.
+    likeliest. An assistant's without a candidate answers the message directly before. A conversation is cut into
+    stretches of time, each with a copy of the window before it, so that a hot one is spread over tasks
+    and every task holds one window of one conversation at a time; words travel as hashes, texts not at all. Rows without role, time
+    or conversation are left out; repeats count once.
     """
     rows = ordered_messages(messages, is_empty_text(F.col("content")).alias("empty"), _terms(F.col("content")).alias("terms"), _calls(F.col("content")).alias("calls")).where("role is not null and at is not null")
-    rows = rows.withColumn("sec", F.unix_micros(F.col("at").cast("timestamp")) / 1e6)
-    key = ["conv", "id", "role", "at", "rank"]
-    stretch = F.floor(F.col("sec") / window)
-    asking = rows.select(*key, "terms", "calls", "sec", stretch.alias("stretch"))
-    earlier = rows.select("conv", *[F.col(c).alias(f"c_{c}") for c in ("id", "role", "at", "rank", "terms", "sec")], F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
-    order = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("at", "rank", "id")])
-    met = asking.join(earlier, ["conv", "stretch"]).where((order("c_") < order("")) & (F.col("sec") - F.col("c_sec") <= window))
-    shared = F.size(F.array_intersect("terms", "c_terms")) / F.greatest(F.lit(1), F.least(F.size("terms"), F.size("c_terms")))
-    tie = NEARNESS * F.exp((F.col("c_sec") - F.col("sec")) / PACE) + F.when(F.array_contains("calls", F.col("c_role")), MENTION).otherwise(0.0) + OVERLAP * shared
-    tied = met.withColumn("tie", tie).where((F.col("role") == "assistant") | (F.size("terms") == 0) | (F.col("tie") >= LEAST_TIE))
-    score = F.when(F.col("role") != F.col("c_role"), OTHER_SPEAKER).otherwise(0.0) + F.col("tie")
-    best = tied.groupBy(*key).agg(F.max(F.struct(score.alias("score"), *[F.col(f"c_{c}").alias(c) for c in ("at", "rank", "id", "role")])).alias("best"))
-    known = with_previous(rows.select(*key, "empty"), ["role", "at", "rank"])
-    direct = F.col("best").isNull() & (F.col("role") == "assistant")
-    parent = lambda c: F.when(direct, F.col(f"prev_{c}")).otherwise(F.col(f"best.{c}")).alias(f"parent_{c}")
-    told = F.when(direct & (F.col("role") != F.col("prev_role")), OTHER_SPEAKER).otherwise(F.coalesce("best.score", F.lit(0.0)))
-    return known.join(best, key, "left").select(*key, "empty", "prev_id", "prev_role", "prev_at", parent("id"), parent("role"), parent("at"), parent("rank"), told.alias("score"))
+    us, size = F.unix_micros(F.col("at").cast("timestamp")), STRETCH * window * 1_000_000
+    stretch, late = F.floor(F.col("us") / size), F.floor((F.col("us") + window * 1_000_000) / size)
+    places = F.array(F.struct(stretch.alias("stretch"), F.lit(True).alias("own")), F.struct(late.alias("stretch"), (late == stretch).alias("own")))
+    laid = rows.withColumn("us", us).select("*", F.inline(F.array_distinct(places)))
+    sorted_ = laid.repartition("conv", "stretch").sortWithinPartitions("conv", "stretch", "us", "rank", "id")
+    scored = sorted_.mapInPandas(_likeliest(window), "conv string, id string, role string, at timestamp_ntz, rank int, empty boolean, score double, parent_us long, parent_rank int, parent_id string, parent_role string")
+    known = with_previous(scored, ["role", "at", "rank"])
+    direct = F.col("parent_id").isNull() & (F.col("role") == "assistant")
+    parent = lambda c, own: F.when(direct, F.col(f"prev_{c}")).otherwise(own).alias(f"parent_{c}")
+    then = (F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("parent_us") / F.lit(1_000_000).cast("decimal(18,6)"))).cast("timestamp_ntz")
+    told = F.when(direct & (F.col("role") != F.col("prev_role")), OTHER_SPEAKER).otherwise(F.col("score"))
+    return known.select("conv", "id", "role", "at", "rank", "empty", "prev_id", "prev_role", "prev_at", parent("id", F.col("parent_id")), parent("role", F.col("parent_role")), parent("at", then), parent("rank", F.col("parent_rank")), told.alias("score"))
 
 
 def thread_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
