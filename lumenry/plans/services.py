@@ -358,7 +358,9 @@ QUERIES = {f.__name__: f for f in (
 
 _C, _D, _K, _T, _WS = lists._C, lists._D, lists._k, lists._T, analysis._WS
 _JSON = lambda c: f"(CASE WHEN json_valid({c}) THEN {c} END)"
-_PAGES = f"coalesce(CASE WHEN json_type({_JSON('geo_details')}, '$.pages') = 'ARRAY' THEN json_extract({_JSON('geo_details')}, '$.pages[*]') WHEN json_type({_JSON('geo_details')}, '$.pages.items') = 'ARRAY' THEN json_extract({_JSON('geo_details')}, '$.pages.items[*]') END, [])"
+_G = _JSON("geo_details")
+_HELD = f"(CASE WHEN json_type({_G}, '$.pages') = 'VARCHAR' THEN json_extract_string({_G}, '$.pages') ELSE json_extract({_G}, '$.pages')::varchar END)"  # a list kept as text counts as the list
+_PAGES = f"coalesce(CASE WHEN json_type({_JSON(_HELD)}) = 'ARRAY' THEN json_extract({_JSON(_HELD)}, '$[*]') WHEN json_type({_JSON(_HELD)}, '$.items') = 'ARRAY' THEN json_extract({_JSON(_HELD)}, '$.items[*]') END, [])"
 _CLEAN = lambda c: f"nullif(trim(regexp_replace(coalesce({c}, ''), '{_WS}', ' ', 'g'), ' '), '')"
 _HOLES = ", ".join(f"'{x}'" for x in text.PLACEHOLDERS)
 _SIGNS = text._NAME_SIGNS
