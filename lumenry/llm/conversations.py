@@ -108,14 +108,20 @@ def reply_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
     return known.select("conv", "id", "role", "at", "rank", "empty", "prev_id", "prev_role", "prev_at", parent("id", F.col("parent_id")), parent("role", F.col("parent_role")), parent("at", then), parent("rank", F.col("parent_rank")), told.alias("score"))
 
 
-def thread_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The links of reply_links as trees: conv, id, role, at, rank, content, prev_id, parent_id, score and root_id (the message at the root of its tree)."""
+def reply_threads(messages: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The links of reply_links as trees: conv, id, role, at, rank, prev_id, parent_id, score and root_id (the message at the root of its tree)."""
     key = ["conv", "id", "role", "at", "rank"]
     links = staged(reply_links(messages, window).withColumn("num", F.monotonically_increasing_id()))
     numbers = links.select("conv", F.col("id").alias("parent_id"), F.col("at").alias("parent_at"), F.col("rank").alias("parent_rank"), F.col("num").alias("parent"))
     tree = links.join(numbers, ["conv", "parent_id", "parent_at", "parent_rank"], "left").select("num", "parent")
     roots = follow_pointers(tree, "num", "parent").join(links.select(F.col("num").alias("root"), F.col("id").alias("root_id")), "root")
-    threads = links.join(roots.select(F.col("node").alias("num"), "root_id"), "num").select(*key, "prev_id", "parent_id", "score", "root_id")
+    return links.join(roots.select(F.col("node").alias("num"), "root_id"), "num").select(*key, "prev_id", "parent_id", "score", "root_id")
+
+
+def thread_links(messages: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of reply_threads with their content."""
+    key = ["conv", "id", "role", "at", "rank"]
+    threads = reply_threads(messages, window)
     texts = ordered_messages(messages, "content").where("role is not null and at is not null").dropDuplicates(key)
     return texts.join(threads, key)
 

@@ -38,7 +38,7 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
     """The likeliest parent of each message among all of the four hours before it, whether it is the one directly before, and the root of its thread."""
-    links = conversations.thread_links(read_table(spark, d, "messages"))
+    links = conversations.reply_threads(read_table(spark, d, "messages"))
     return links.select(F.col("id").alias("message_id"), "parent_id", F.round("score", 6).alias("score"), (F.col("parent_id") == F.col("prev_id")).alias("is_direct"), "root_id")
 
 
